@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,12 +21,13 @@ def ship(spark: SparkSession) -> None:
     if app in _SENT:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:
-        path = f"{d}/{root.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="sonda-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver for as long as it runs
+    path = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
     _SENT.add(app)
 
 
