@@ -2,9 +2,9 @@
 
 Sets are the distinct 5-word shingles of a document (fewer words: one shingle). Equal sets are one node. In each
 run every set samples about ``branching`` of its shingles by a shared hash; sets that sampled the same shingle
-share a bucket. Small buckets are compared by brute force on 128-byte minhash sketches; large ones are split
-again on shared tokens of the sketches, down to ``DEPTH`` levels, and what is together then counts as
-candidates. Runs repeat until a pair at the threshold is found with probability ``recall``. Candidate pairs
+share a bucket. Small buckets are compared by brute force on 128-byte minhash sketches. In a large one all members
+are compared with a few leaders; those much like a leader are done there, and the rest are split again on shared
+tokens of their sketches, down to ``DEPTH`` levels; what is together then counts as candidates. Runs repeat until a pair at the threshold is found with probability ``recall``. Candidate pairs
 are held as connected components, and inside each component all pairs are verified on the shingles themselves,
 in cells of at most 2 x ``BLOCK`` sets, so link counts are exact and no pair leaves a task.
 
@@ -28,9 +28,13 @@ from .components import components
 from .words import U, mix, shingles, words
 
 SHINGLE, SIMILARITY, RECALL, BRANCHING = 5, 0.8, 0.999999, 2.0
-SMALL, DEPTH, BLOCK, BINS = 256, 8, 2048, 128
+SMALL, DEPTH, BLOCK, BINS = 512, 8, 2048, 128
+#: Shared tokens that a set samples in a large bucket: the fewest at which pairs at the threshold don't die out.
+SPLIT = 1.5
 #: Sketches estimate similarity with a deviation of about 0.035 to 0.045; pairs above threshold - SLACK stay candidates.
-SLACK = 0.25
+#: Against leaders: a set is done where its sketch agrees on SURE or more. What is similar to it, by 0.8 or more, is
+#: then similar to the leader by 0.52 or more, by the triangle inequality, and NEAR leaves that three deviations.
+SLACK, SURE, NEAR, LEADERS = 0.25, 0.72, 0.40, 32
 
 
 def runs_needed(similarity: float, recall: float, branching: float, levels: int = 2) -> int:
@@ -166,6 +170,43 @@ def _bucket_edges(least: float):
     return run
 
 
+def _follow(least: float, sure: float):
+    """Members of large buckets against the ``LEADERS`` of their bucket: edges, and whether a member is done.
+
+    Every member is compared with every leader. One that is ``sure`` to be like a leader is done with this bucket: by
+    the triangle inequality of Jaccard distance its own partners are near enough to that leader to get an edge too.
+    """
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            path = batch.column("path").to_numpy()
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, BINS)
+            done, edges = np.zeros(n, bool), [[] for _ in range(n)]
+            keys = batch.column("key")
+            for p in np.unique(path).tolist():
+                rows = np.flatnonzero(path == p)
+                if p not in known:
+                    if len(known) > 256:
+                        known.clear()
+                    lead = sorted((x["key"], x["sketch"]) for x in batch.column("leaders")[int(rows[0])].as_py())
+                    ls = np.frombuffer(b"".join(x[1] for x in lead), np.uint8).reshape(len(lead), BINS)
+                    near = np.stack([_alike(ls, x) >= least for x in ls])
+                    known[p] = [x[0] for x in lead], ls, _roots(len(lead), *np.nonzero(near))
+                names, ls, root = known[p]
+                like = np.stack([_alike(sketch[rows], x) for x in ls], 1)
+                done[rows] = (like >= sure).any(1)
+                for r, hit in zip(rows.tolist(), like >= least):
+                    if hit.any():
+                        edges[r] = [names[x] for x in np.unique(root[hit]).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), keys, batch.column("sketch"), pa.array(done), pa.array(edges, pa.list_(pa.binary()))], ["path", "key", "sketch", "done", "near"])
+
+    return run
+
+
 def _split(level: int, branching: float):
     """The next paths of each set in a large bucket: it samples shared tokens (bin, byte) of its sketch."""
 
@@ -205,8 +246,12 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, branching: floa
             least = wide.groupBy("path").agg(F.min("key").alias("b"))
             edges.append(wide.join(least, "path").select(F.col("key").alias("a"), "b").where("a <> b").distinct())
             break
-        # a bucket is as likely to come from any run: equal paths of one set count once
-        new = staged(wide.select("path", "key", "sketch").mapInArrow(_split(depth, branching), shape), "split")
+        # leaders: of each of LEADERS hash slots the least member
+        slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"))
+        led = wide.select("path", "key", "sketch").join(slot.groupBy("path").agg(F.collect_list("leader").alias("leaders")), "path")
+        led = staged(led.mapInArrow(_follow(similarity - 0.8 + NEAR, similarity - 0.8 + SURE), f"{shape}, done boolean, near array<binary>"), "led")
+        edges.append(led.select(F.col("key").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct())
+        new = staged(led.where("not done").select("path", "key", "sketch").mapInArrow(_split(depth, SPLIT), shape), "split")
         level = staged(new.join(new.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path").select("path", "n", "key", "sketch"), "paths")
     out = edges[0]
     for e in edges[1:]:
