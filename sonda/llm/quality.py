@@ -109,7 +109,7 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
     data, offsets = buffers(texts)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices(offsets, 2 << 20):
+    for a, b in slices(offsets, 1 << 18):
         parts = list(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets))
         doc, bucket = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
         # of each document its distinct buckets and their shares

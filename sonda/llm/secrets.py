@@ -28,7 +28,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
-LEAST, SAMPLE_DOCS, RANDOM, SEED = 16, 2000, 4000, 11
+LEAST, SAMPLE_DOCS, RANDOM, SEED = 16, 500, 4000, 11
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 _SYMBOL = np.zeros(256, np.int64)
@@ -111,7 +111,7 @@ def labelled(texts: list[str]) -> list[tuple[str, int]]:
         out += [(w, 0) for w in words]
         for a, b in zip(words[::8], words[1::8]):
             out += [(f"{a}_{b}".lower(), 0), (a.lower() + b.capitalize(), 0), (f"/{a}/{b}", 0), (f"{a}-{b}", 0), (f"{a}_{b}".upper(), 0), (f"{a}={len(b)}", 0)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> Markov:
