@@ -69,11 +69,12 @@ class Product:
 
         @F.pandas_udf("array<int>")
         def codes(v: pd.Series) -> pd.Series:
-            out = pd.Series([None] * len(v), index=v.index, dtype=object)
-            full = v.notna()
-            if full.any():
-                out[full] = list(book.encode_rows(np.stack(v[full].to_numpy()).astype(np.float64)).astype(np.int32))
-            return out
+            full = [i for i, x in enumerate(v) if x is not None]
+            out: list = [None] * len(v)
+            if full:
+                for i, c in zip(full, book.encode_rows(np.stack([v.iloc[i] for i in full]).astype(np.float64)).astype(np.int32)):
+                    out[i] = c
+            return pd.Series(out, dtype=object)
 
         return codes(vec)
 
@@ -87,8 +88,10 @@ class Product:
         # cosine is measured as squared euclidean distance by this quantizer
         metric = "euclidean" if self.metric == "cosine" else self.metric
         table = [D.distances(metric, b, q[None, i * self.width : (i + 1) * self.width])[:, 0].tolist() for i, b in enumerate(self.books)]
-        lut = F.lit(table)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(len(table))), F.lit(0.0), lambda a, i: a + F.element_at(F.element_at(lut, i), F.element_at(codes, i) + 1))
+        out = F.lit(0.0)
+        for i, row in enumerate(table):
+            out = out + F.element_at(F.lit(row), codes.getItem(i) + 1)
+        return out
 
 
 def fit_product(df: DataFrame, id_col: str, vec: Column, q: Quantizer, metric: str, rounds: int = 100, rows: int = FIT_ROWS) -> Product | None:

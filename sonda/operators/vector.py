@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import distance as D
 from ..plans.schema import Index
@@ -58,6 +59,8 @@ def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
     shared = spark.sparkContext.broadcast((ids, q))
     id_type, q_type = df.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
 
+    kinds = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(df.schema[id_col].dataType), pa.float64()]
+
     def run(batches):
         names, qs = shared.value
         best_d = np.full((len(names), 0), np.inf)
@@ -77,7 +80,7 @@ def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
                 top = np.lexsort((i, d), axis=1)[:, :k] if d.shape[1] > k else np.argsort(d, axis=1, kind="stable")
                 best_d, best_i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
         rows = [(names[a], best_i[a, b], best_d[a, b]) for a in range(best_d.shape[0]) for b in range(best_d.shape[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.float64())] if rows else [pa.array([], t) for t in (pa.null(), pa.null(), pa.float64())], ["query", "neighbour", "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["query", "neighbour", "distance"])
 
     found = df.select(id_col, vec_col).mapInArrow(run, f"query {q_type}, neighbour {id_type}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))

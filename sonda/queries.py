@@ -311,7 +311,7 @@ def _text() -> None:
     for name, words, every, limit, weight, lang in (
         ("text_all", ["ering", "onth"], True, 20, 1.0, None),
         ("text_any", ["ersh", "thanedble"], False, 20, 1.0, None),
-        ("text_tfidf", ["retion", "onwh", "only"], False, 75, 1.0, None),
+        ("text_tfidf", ["retion", "onwh", "onble"], False, 75, 1.0, None),
         ("text_prefilter", ["le", "der"], False, 15, 1.0, "fr"),
         ("text_limit", ["antion"], True, 5, 1.0, None),
         ("text_weight", ["rely", "und"], False, 10, 3.5, None),
@@ -338,18 +338,18 @@ def text_stopwords_only(spark, sf_dir):
     return search(documents(spark, sf_dir), {"query": q, "select": ["lang"], "limit": 10}).select("doc_id", "lang")
 
 
-CHANGED = "CASE WHEN doc_id % 10 = 3 THEN 'thanedble only' ELSE text END"
+CHANGED = "CASE WHEN doc_id % 10 = 3 THEN 'thanedble onwh' ELSE text END"
 
 
-@query(f"""WITH documents AS (SELECT doc_id, lang, {CHANGED} AS text FROM documents WHERE doc_id % 10 <> 7), {SCORES} {sql_scores("h", ["thanedble", "only"], True)}
+@query(f"""WITH documents AS (SELECT doc_id, lang, {CHANGED} AS text FROM documents WHERE doc_id % 10 <> 7), {SCORES} {sql_scores("h", ["thanedble", "onwh"], True)}
 SELECT doc_id, round(s, 6) + 0.0 AS _score, row_number() OVER (ORDER BY s DESC, doc_id) AS _rank FROM h ORDER BY s DESC, doc_id LIMIT 30""")
 def text_after_update(spark, sf_dir):
     """The ranking after one tenth of the documents was updated and another deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    updates = docs.where("doc_id % 10 = 3").select("doc_id", F.lit("thanedble only").alias("text"))
+    updates = docs.where("doc_id % 10 = 3").select("doc_id", F.lit("thanedble onwh").alias("text"))
     now = mutate.merged(mutate.deleted(docs, docs.where("doc_id % 10 = 7"), "doc_id"), updates, "doc_id", ["text"])
     source = Source(now, "doc_id", documents(spark, sf_dir).schema)
-    got = search(source, {"query": leaf("text", "text", "containsAll", "thanedble only", limit=30), "limit": 30}, rank=True)
+    got = search(source, {"query": leaf("text", "text", "containsAll", "thanedble onwh", limit=30), "limit": 30}, rank=True)
     return got.select("doc_id", rounded("_score"), "_rank")
 
 
