@@ -55,7 +55,7 @@ COMPARISONS = {"eq": ("equals", "="), "ne": ("notEquals", "<>"), "gt": ("greater
 def _predicates() -> None:
     for name, kind, tab, key, prop, value, end in (
         ("int", "integer", "part", "p_partkey", "p_size", 20, 30),
-        ("float", "float", "orders", "o_orderkey", "o_totalprice", 150000.0, 250000.0),
+        ("float", "float", "part", "p_partkey", "p_retailprice", 901.2, 915.0),
         ("str", "string", "part", "p_partkey", "p_brand", "Brand#17", "Brand#3"),
     ):
         schema = {prop: {"type": kind, "string": {"caseSensitive": True}}}
@@ -151,8 +151,8 @@ _ids()
 # composites of predicates
 
 PART = {"p_size": {"type": "integer"}, "p_brand": s_index(True), "p_retailprice": {"type": "float"}}
-simple("and_preds", "part", "p_partkey", PART, {"property": "_and", "_and": [leaf("p_size", "integer", "lessThan", 25), leaf("p_brand", "string", "startsWith", "Brand#1"), leaf("p_retailprice", "float", "greaterThan", 1000.0)]}, "SELECT p_partkey, p_size, p_brand, p_retailprice FROM part WHERE p_size < 25 AND starts_with(p_brand, 'Brand#1') AND p_retailprice > 1000.0")
-simple("or_preds", "part", "p_partkey", PART, {"property": "_or", "_or": [leaf("p_size", "integer", "equals", 1), {"property": "_and", "_and": [leaf("p_brand", "string", "equals", "Brand#4"), leaf("p_retailprice", "float", "lessThanOrEquals", 1200.0)]}]}, "SELECT p_partkey, p_size, p_brand, p_retailprice FROM part WHERE p_size = 1 OR (p_brand = 'Brand#4' AND p_retailprice <= 1200.0)")
+simple("and_preds", "part", "p_partkey", PART, {"property": "_and", "_and": [leaf("p_size", "integer", "lessThan", 25), leaf("p_brand", "string", "startsWith", "Brand#1"), leaf("p_retailprice", "float", "greaterThan", 905.0)]}, "SELECT p_partkey, p_size, p_brand, p_retailprice FROM part WHERE p_size < 25 AND starts_with(p_brand, 'Brand#1') AND p_retailprice > 905.0")
+simple("or_preds", "part", "p_partkey", PART, {"property": "_or", "_or": [leaf("p_size", "integer", "equals", 1), {"property": "_and", "_and": [leaf("p_brand", "string", "equals", "Brand#4"), leaf("p_retailprice", "float", "lessThanOrEquals", 910.0)]}]}, "SELECT p_partkey, p_size, p_brand, p_retailprice FROM part WHERE p_size = 1 OR (p_brand = 'Brand#4' AND p_retailprice <= 910.0)")
 simple("and_single", "part", "p_partkey", PART, {"property": "_and", "_and": [leaf("p_size", "integer", "greaterThan", 45)]}, "SELECT p_partkey, p_size, p_brand, p_retailprice FROM part WHERE p_size > 45")
 
 # nearest neighbours
