@@ -372,6 +372,9 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     """
     got = staged(similar(docs, similarity, id_col=id_col, text_col=text_col), "similar")
     keep = got.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__sonda_id"))
-    repeated = keep.groupBy("__sonda_id").count().where("count > 1")
+    repeated = keep.where("__sonda_id is not null").groupBy("__sonda_id").count().where("count > 1")
     out = docs.join(keep.distinct(), docs[f"`{id_col}`"].eqNullSafe(keep["__sonda_id"]), "left_semi")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    if repeated.isEmpty():
+        return out
+    named = F.col(f"`{id_col}`").isNotNull()
+    return out.where(named).dropDuplicates([id_col]).unionByName(out.where(~named))
