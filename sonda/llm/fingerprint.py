@@ -44,7 +44,8 @@ def _passed(bounds: list[float], x):
     step = max(1, int(len(bounds) ** 0.5))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     whole = F.size(F.filter(F.lit([p[-1] for p in parts]), lambda b: b >= x))
-    return whole * step + F.size(F.filter(F.element_at(F.lit([*parts, []]), whole + 1), lambda b: b >= x))
+    found = whole * step + F.size(F.filter(F.element_at(F.lit([*parts, []]), whole + 1), lambda b: b >= x))
+    return F.least(found, F.lit(len(bounds)))  # the last part may be shorter
 
 
 def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +59,7 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     count = 4 * partitions(spark)
     bounds = sorted(set(rows.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count)), reverse=True)
     # runs count up as ids go down; null ids are in the last
-    rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(_passed(bounds, F.col("id"))).cast("int"))
+    rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(_passed(bounds, F.col("id"))).cast("int"))
     # at most one row for each run
     heads = rows.select("run", "id", F.xxhash64("text").alias("h"), F.struct(F.coalesce(-F.col("id"), F.lit(2**63 - 1)).alias("k"), F.xxhash64("text").alias("h")).alias("at")).groupBy("run").agg(F.min_by(F.struct("id", "h"), "at").alias("head")).orderBy("run").collect()
     if not heads:
