@@ -28,6 +28,8 @@ from .words import U, mix, powers
 TRAIN_ROWS, TRAIN_BYTES = 4000, 32 << 20
 BUCKETS, DIM, EPOCHS, RATE, SEED, BATCH = 1 << 17, 8, 6, 0.3, 7, 16
 GRAMS = (3, 4, 5)
+#: Few samples are gone through more often, up to 60 times, until so many documents were visited.
+VISITS = 24_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
@@ -125,6 +127,7 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
     # steps shrink with what a vector has been moved by before, so frequent and rare n-grams learn alike
     moved, moved_layer = np.full(buckets, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32)
     weight = np.where(y == 1, 1.0, np.sqrt((y == 1).sum() / max(1, (y == 0).sum()))).astype(np.float32)
+    epochs = max(epochs, min(60, VISITS // len(y)))
     for epoch in range(epochs):
         now = np.float32(rate * (1 - epoch / epochs))
         order = rng.permutation(len(bags))

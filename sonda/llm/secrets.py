@@ -88,6 +88,16 @@ def random_samples(n: int = RANDOM, seed: int = SEED) -> list[tuple[str, int]]:
     return [("".join(a[i] for i in rng.integers(0, len(a), rng.integers(16, 65))), 1) for k in range(n) for a in (ALPHABETS[k % len(ALPHABETS)],)]
 
 
+#: Ordinary prose and names beside those of the corpus, so that plain words of other languages and code aren't taken for random.
+PLAIN = """
+the quick answer to most questions about storage is that whoever reads the documentation first spends less time waiting later
+internationalization responsibilities configuration understanding notwithstanding characteristically environmental thousandtimes
+getUserName setConnectionTimeout background_color maximum_retry_count Content-Type application/json README Makefile requirements
+Geschwindigkeitsbegrenzung Zusammenarbeit Wissenschaftler verantwortlich nichtsdestoweniger selbstverständlich Krankenversicherung
+malheureusement immédiatement développement gouvernement anticonstitutionnellement reconnaissance bibliothèque aujourdhui
+desafortunadamente responsabilidad administración comunicaciones electroencefalograma conocimiento inmediatamente trabajadores
+"""
+
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 
@@ -97,7 +107,7 @@ def labelled(texts: list[str]) -> list[tuple[str, int]]:
     Neighbouring words joined as identifiers (snake_case, camelCase, paths) are ordinary too.
     """
     out = []
-    for text in texts:
+    for text in (PLAIN, *texts):
         spans = base_spans(text)
         for a, kind, b in spans:
             value = ASSIGN.match(text, a)[2] if kind == 0 else text[a:b]
