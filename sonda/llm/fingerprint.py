@@ -7,6 +7,7 @@ Repeated rows are rows like any other. Columns other than id and text are ignore
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -104,11 +105,13 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 24, bits: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 24, bits: int = 8, window: int = 64) -> DataFrame:
     """One row per row: id and class_id, the least id of its class of fingerprints with likeness ``similarity`` or more.
 
-    Equal fingerprints are one node. Nodes that share a band meet its least node and the node before them in
-    the order of fingerprints, are verified by likeness, and linked ones form classes; no bucket is gathered.
+    Equal fingerprints are one node. In each band a node is verified by likeness against the ``window`` nodes before
+    it in the order of fingerprints, where those with a beginning in common are neighbours, and linked nodes form
+    classes. No band is gathered, whatever its size; a link is lost only where every band the two share parts them by
+    more than ``window`` nodes.
     """
     prints = staged(with_fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "prints")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).where("id is not null")
@@ -123,18 +126,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     rows = rows.repartition(partitions(docs.sparkSession), "band").sortWithinPartitions("band", "fingerprint")
 
     def edges(batches):
-        lead = last = None
+        band, seen = None, deque(maxlen=window)
         for batch in batches:
             a, b = [], []
-            for band, f in zip(batch.column("band").to_pylist(), batch.column("fingerprint").to_pylist()):
-                if lead is None or lead[0] != band:
-                    lead = (band, f)
-                else:
-                    for other in {lead[1], last}:
-                        if likeness(f, other) >= similarity:
-                            a.append(f)
-                            b.append(other)
-                last = f
+            for now, f in zip(batch.column("band").to_pylist(), batch.column("fingerprint").to_pylist()):
+                if now != band:
+                    band = now
+                    seen.clear()
+                for other in seen:
+                    if likeness(f, other) >= similarity:
+                        a.append(f)
+                        b.append(other)
+                seen.append(f)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
     found = components(rows.mapInArrow(edges, "a string, b string"))

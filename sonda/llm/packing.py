@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bins import NODES, pack
 from .common import id_text, partitions, per_worker, staged
@@ -90,7 +91,7 @@ def packed(parts: DataFrame, length: int = LENGTH, nodes: int = NODES) -> DataFr
     ranked = ranked.select(*parts.columns, "number")
     kept = parts.columns
     names = [*kept, "sequence_id", "offset"]
-    shape = parts.schema.add("sequence_id", "long").add("offset", "long")
+    shape = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
         t = table.value
