@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import distance as D
 from .functions.analysis import STOP_WORDS, tokens
-from .operators import mutate, quantize, text, vector
+from .operators import ivf, mutate, quantize, text, vector
 from .plans.compiler import Source, matching, search
 from .plans.schema import Index, Quantizer, parse_schema
 from .sources import collection
@@ -269,6 +269,14 @@ def knn_batch(spark, sf_dir):
     return got.select("query_id", "vec_id", rounded("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def knn_ivf(spark, sf_dir):
+    """Approximate neighbours of number 0 from 6 of 16 lists."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ivf.build(e, "vec_id", "embedding", 16)
+    return index.search(embedding(spark, sf_dir, 0), 10, 6).select("vec_id", rounded("distance"))
+
+
 # full text
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
