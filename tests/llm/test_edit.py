@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import prose
+from samples import prose
 from sonda.llm import edit, fingerprint
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import prose
+from samples import prose
 from sonda.llm import jaccard
 from sonda.llm.components import components
 

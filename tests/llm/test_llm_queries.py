@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from conftest import SF
+from samples import SF
 from sonda.llm import jaccard, queries, secrets
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, prose
+from samples import SF, prose
 from sonda.llm import decontaminate, secrets, shards, url_filters
 
 # URL filters

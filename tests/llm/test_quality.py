@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from conftest import SF, prose
+from samples import SF, prose
 from sonda.llm import quality, queries
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import prose
+from samples import prose
 from sonda.llm import token_counts, token_files
 from sonda.llm.encoding import Encoder
 from sonda.llm.queries import tokenizer
