@@ -6,7 +6,7 @@ share a bucket. Small buckets are compared by brute force on 128-byte minhash sk
 are compared with a few leaders; those much like a leader are done there, and the rest are split again on shared
 tokens of their sketches, down to ``DEPTH`` levels; what is together then counts as candidates. Runs repeat until a pair at the threshold is found with probability ``recall``. Candidate pairs
 are held as connected components, and inside each component all pairs are verified on the shingles themselves,
-in cells of at most 2 x ``BLOCK`` sets, so link counts are exact and no pair leaves a task.
+in cells of about 2 x ``BLOCK`` sets, or fewer long ones, so link counts are exact and no pair leaves a task.
 
 Documents without words are in no class but their own and have no links. Each row counts as a document: a row
 repeated under its id is linked to its repetition. Rows with a null id have no name: they are compared with
@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY, RECALL, BRANCHING = 5, 0.8, 0.999999, 2.0
 SMALL, DEPTH, BLOCK, BINS = 512, 8, 2048, 128
 #: Shared tokens that a set samples in a large bucket: the fewest at which pairs at the threshold don't die out.
 SPLIT = 1.5
+#: Shingles for each of the BLOCK sets of a block; components of longer texts have smaller blocks.
+SHINGLES = 1024
 #: Sketches estimate similarity with a deviation of about 0.035 to 0.045; pairs above threshold - SLACK stay candidates.
 #: Against leaders: a set is done where its sketch agrees on SURE or more. What is similar to it, by 0.8 or more, is
 #: then similar to the leader by 0.52 or more, by the triangle inequality, and NEAR leaves that three deviations.
@@ -100,7 +102,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, branching: float = BRANCHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each row: id, set key (null without words), sketch and first-level paths."""
+    """Of each row: id, set key (null without words), sketch, first-level paths and number of shingles."""
     runs = runs_needed(similarity, recall, branching)
 
     def run(batches):
@@ -113,11 +115,11 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
                 off = np.searchsorted(at[order], np.arange(b - a + 1))
                 paths = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(path[order].view(np.int64)))
                 sketch = [x.tobytes() for x in _sketches(h, first)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(_set_keys(h, first), pa.binary()), pa.array(sketch, pa.binary()), paths], ["id", "key", "sketch", "paths"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(_set_keys(h, first), pa.binary()), pa.array(sketch, pa.binary()), paths, pa.array(np.diff(first), pa.int32())], ["id", "key", "sketch", "paths", "shingles"])
 
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key binary, sketch binary, paths array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, key binary, sketch binary, paths array<bigint>, shingles int")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -344,11 +346,12 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     num, den = round(similarity * 1000), 1000
     sig = staged(signatures(docs, similarity, recall, branching, id_col, text_col), "signatures")
     full = sig.where("key is not null and id is not null")
-    sets = full.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    sets = full.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"))
     one = full.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     found = staged(candidates(one, similarity, branching, small), "candidates")
-    size = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = found.join(size, "component").join(sets, "key")
+    members = found.join(sets, "key")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("shingles") / (block * SHINGLES)))
+    members = members.join(members.groupBy("component").agg(blocks.cast("int").alias("blocks")), "component")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     texts = id_text(docs, id_col, text_col)
     placed = members.join(texts, texts["id"] == members["id"]).select("component", "key", "copies", "block", "blocks", "text")
