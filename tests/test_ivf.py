@@ -19,3 +19,15 @@ def test_lists(spark, tmp_path):
     plan = stored.search(queries[0], 10, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
     assert ivf.build(df.limit(0), "id", "v", 3).df.count() == 0
+
+
+def test_generated_vectors(spark, tmp_path):
+    from sonda.sources import generate
+
+    df = generate.random_vectors(spark, 100, 6, 3)
+    rows = {r["id"]: r["vector"] for r in df.collect()}
+    assert len(rows) == 100 and all(len(v) == 6 and all(0 <= x < 1 for x in v) for v in rows.values()) and rows[1] != rows[2]
+    assert rows == {r["id"]: r["vector"] for r in generate.random_vectors(spark, 100, 6, 3).repartition(3).collect()}
+    df.write.parquet(str(tmp_path / "v"))
+    unit = generate.load_vectors(spark, str(tmp_path / "v"), unit=True).first()["vector"]
+    assert abs(sum(x * x for x in unit) - 1) < 1e-9
