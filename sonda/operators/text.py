@@ -53,9 +53,9 @@ def scored(df: DataFrame, id_col: str, text: Column, query: str, every: bool, wi
     keep = has[0]
     for h in has[1:]:
         keep = keep & h if every else keep | h
-    # one row of counts
-    kept = kept.where(keep).crossJoin(F.broadcast(stats))
-    parts = [F.when(has[i], F.col(f"tf{i}") / F.col("length") * F.log10(F.col("n") / (F.col(f"df{i}") + 1))).otherwise(0.0) for i in range(len(wanted))]
+    counts = stats.select(F.struct("*").alias("s")).scalar()  # one row, as a scalar subquery
+    kept = kept.where(keep).withColumn("c", counts)
+    parts = [F.when(has[i], F.col(f"tf{i}") / F.col("length") * F.log10(F.col("c.n") / (F.col(f"c.df{i}") + 1))).otherwise(0.0) for i in range(len(wanted))]
     score = parts[0]
     for p in parts[1:]:
         score = score + p

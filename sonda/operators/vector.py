@@ -37,19 +37,19 @@ def nearest(df: DataFrame, id_col: str, dist: Column, k: int) -> DataFrame:
     return rows.orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int, metric: str = "euclidean", block: int = 1024, most_queries: int = 100_000) -> DataFrame:
+def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int, metric: str = "euclidean", block: int = 1024, most_bytes: int = 64 << 20) -> DataFrame:
     """(query id, id, distance, rank) of the k nearest of every query vector, over one scan of ``df``.
 
     The queries are counted, then sent to all tasks; each task multiplies blocks of its vectors with all of them and
-    keeps k rows for each query, and a window over those picks the k best. More queries than ``most_queries`` are
-    taken in blocks, each with its own scan.
+    keeps k rows for each query, and a window over those picks the k best. Queries of more than ``most_bytes`` in all
+    are taken in blocks, each with its own scan.
     """
     spark = df.sparkSession
-    n = queries.count()
-    if n > most_queries:
-        parts = -(-n // most_queries)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(query_vec) * 8), F.lit(0))).first()
+    if size > most_bytes and n > 1:
+        parts = min(n, -(-size // most_bytes))
         split = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == p) for p in range(parts)]
-        out = [nearest_batch(df, id_col, vec_col, p, query_id, query_vec, k, metric, block, n) for p in split]
+        out = [nearest_batch(df, id_col, vec_col, p, query_id, query_vec, k, metric, block, size) for p in split]
         whole = out[0]
         for o in out[1:]:
             whole = whole.unionByName(o)

@@ -117,5 +117,5 @@ def test_batches_equal_brute_force(spark, metric):
         want = sorted(range(300), key=lambda i: (d[i, k], i))[:5]
         mine = [r["id"] for r in sorted((r for r in got if r["q"] == 50 * k), key=lambda r: r["rank"])]
         assert [round(d[i, k], 9) for i in mine] == [round(d[i, k], 9) for i in want]
-    assert vector.nearest_batch(df, "id", "v", queries, "q", "qv", 5, metric, most_queries=2).count() == 30
+    assert vector.nearest_batch(df, "id", "v", queries, "q", "qv", 5, metric, most_bytes=150).count() == 30
     assert vector.nearest_batch(df.limit(0), "id", "v", queries, "q", "qv", 5, metric).count() == 0
