@@ -33,6 +33,7 @@ SMALL, DEPTH, BLOCK, BINS = 512, 8, 2048, 128
 SPLIT = 1.5
 #: Shingles for each of the BLOCK sets of a block; components of longer texts have smaller blocks.
 SHINGLES = 1024
+BROADCAST_IDS = 2_000_000
 #: Sketches estimate similarity with a deviation of about 0.035 to 0.045; pairs above threshold - SLACK stay candidates.
 #: Against leaders: a set is done where its sketch agrees on SURE or more. What is similar to it, by 0.8 or more, is
 #: then similar to the leader by 0.52 or more, by the triangle inequality, and NEAR leaves that three deviations.
@@ -374,9 +375,12 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     A document repeated under its id is kept once. Rows with a null id all stay.
     """
     got = staged(similar(docs, similarity, id_col=id_col, text_col=text_col), "similar")
-    keep = got.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__sonda_id"))
-    repeated = keep.where("__sonda_id is not null").groupBy("__sonda_id").count().where("count > 1")
-    out = docs.join(keep.distinct(), docs[f"`{id_col}`"].eqNullSafe(keep["__sonda_id"]), "left_semi")
+    known = got.where(F.col(id_col).isNotNull())
+    gone = known.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__sonda_id")).distinct()
+    repeated = known.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().where("count > 1")
+    # the ids that go are counted; only so many are sent to all tasks, more are joined by shuffle
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    out = docs.join(gone, docs[f"`{id_col}`"] == gone["__sonda_id"], "left_anti")
     if repeated.isEmpty():
         return out
     named = F.col(f"`{id_col}`").isNotNull()
