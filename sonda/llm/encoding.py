@@ -18,7 +18,9 @@ import numpy as np
 from .transducer import byte_of_stand_in
 
 #: Characters for which Python and the library agree on letters, digits, white space and lower case.
-_ODD = r"[^\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]"
+_ODD = r"[^\n\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]"
+#: Those of them in Latin-1, as bytes.
+PLAIN = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 PIECES, WORDS = 1_000_000, 100_000
 ENDS = tuple(".,;:!?")
 
@@ -53,17 +55,15 @@ class Encoder:
             raise ValueError(f"ids of {path} don't fit {dtype}")
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.form = "whole"
+        self.form, self.common = "whole", re.compile(_ODD)
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.form = "byte"
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-            self.odd = re.compile(_ODD + r"|\x20\s|\s\x20")
         elif pre.get("type") == "Sequence" and norm and norm.get("type") == "Sequence":
             kinds, split = [n["type"] for n in norm["normalizers"]], pre["pretokenizers"][0]
             if kinds == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]:
                 self.form = "word"
                 self.pattern = regex.compile(split["pattern"]["Regex"])
-                self.odd = re.compile(_ODD)
         self.tokenize, self.stand_ins = self.library.model.tokenize, {b: c for c, b in byte_of_stand_in().items()}
         self.words = _Kept(self._word, WORDS)
         self.pieces = _Kept(self._piece, PIECES)
@@ -85,6 +85,8 @@ class Encoder:
         return self._bytes([t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.stand_ins))])
 
     def _piece(self, piece: str) -> bytes:
+        if piece[:1] == "\0":
+            return self.newline + (self.firsts[piece[1:]] if len(piece) > 1 else b"")
         if piece[-1:] in ENDS and piece[:-1].isalpha():
             return self.pieces[piece[:-1]] + self.words[piece[-1]]
         if self.form == "word":
@@ -102,20 +104,19 @@ class Encoder:
 
     def _simple(self, text: str) -> bool:
         """Whether blanks part the text into pieces that stand alone."""
-        if text.isascii() and text.replace("\n", "").isprintable():
-            return self.form == "word" or not ("  " in text or " \n" in text or "\n " in text)
-        return self.odd.search(text) is None
+        try:
+            plain = not text.encode("latin-1").translate(None, PLAIN)
+        except UnicodeEncodeError:
+            plain = self.common.search(text) is None
+        return plain and (self.form == "word" or not ("  " in text or " \n" in text or "\n " in text))
 
     def ids(self, text: str) -> bytes:
         if self.form == "whole" or not self._simple(text):
             return self._library(text)
         if self.form == "word":
             return b"".join(map(self.pieces.__getitem__, text.split()))
-        if "\n\n" in text:
-            return self._line(text)
-        return self.newline.join(map(self._line, text.split("\n")))
-
-    def _line(self, text: str) -> bytes:
+        if "\n" in text and "\n\n" not in text:
+            text = text.replace("\n", " \0")  # a piece after a single newline stands alone too, without a blank
         first, *rest = text.split(" ")
         head = self.firsts[first] if first else b""
         return head + b"".join(map(self.pieces.__getitem__, rest)) if rest else head
