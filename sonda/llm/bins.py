@@ -5,6 +5,8 @@ A plan is a list of (filling, times): a filling is a descending tuple of sizes t
 
 from __future__ import annotations
 
+import bisect
+
 Plan = list[tuple[tuple[int, ...], int]]
 NODES, CHOICES, WIDTH = 6000, 6, 24
 
@@ -25,8 +27,6 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     """The incumbent: sizes descend and enter the fullest open bins with room; equal bins are held together."""
-    import bisect
-
     room: list[int] = []  # sorted rooms of open bins
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 

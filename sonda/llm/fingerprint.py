@@ -10,10 +10,10 @@ import hashlib
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, partitions, slices, sorted_groups, staged
+from .common import buffers, id_text, partitions, slices, staged
 from .components import components
 from .edit import bands, fingerprints, likeness
 

@@ -136,10 +136,9 @@ def all_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
     """Pattern matches and the random tokens that overlap none of them."""
     out = base_spans(text)
     more = []
-    ends = sorted((a, b) for a, _, b in out)
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in ends):
+        if any(x < b and a < y for x, _, y in out):
             continue
         if model.is_random(m[0]):
             more.append((a, 3, b))

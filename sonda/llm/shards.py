@@ -160,8 +160,9 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     large = [(u["unit"], b) for u, b in zip(units, bins) if u["unit"][0] != "u"]
     small = {int(u["unit"][1:]): b for u, b in zip(units, bins) if u["unit"][0] == "u"}
     where = F.broadcast(spark.createDataFrame(large, "group string, large int"))
-    small_list = F.array(*(F.lit(0) for _ in range(1))) if not small else F.lit([small.get(i, 0) for i in range(shards * grain)])
-    dealt = rows.join(where, "group", "left").withColumn("shard", F.coalesce("large", F.element_at(small_list, (F.pmod(F.xxhash64("group"), F.lit(shards * grain)) + 1).cast("int"))).cast("int") if small else F.col("large"))
+    by_unit = F.lit([small.get(i, 0) for i in range(shards * grain)])
+    of_unit = F.element_at(by_unit, (F.pmod(F.xxhash64("group"), F.lit(shards * grain)) + 1).cast("int"))
+    dealt = rows.join(where, "group", "left").withColumn("shard", F.coalesce("large", of_unit).cast("int"))
     return numbered(dealt.select("id", "text", "size", "shard"))
 
 

@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import buffers, id_text, per_worker, slices
 from .transducer import Transducer

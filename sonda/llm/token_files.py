@@ -20,7 +20,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import id_text, new_path, partitions, per_worker
 from .encoding import Encoder

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 import re
-import zlib
 
 import duckdb
 import pytest
