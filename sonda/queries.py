@@ -13,7 +13,7 @@ from .functions import distance as D
 from .functions.analysis import STOP_WORDS, tokens
 from .operators import ivf, mutate, quantize, text, vector
 from .plans.compiler import Source, matching, search
-from .plans.schema import Index, Quantizer, parse_schema
+from .plans.schema import Quantizer, parse_schema
 from .sources import collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
