@@ -21,7 +21,7 @@ from .transducer import byte_of_stand_in
 _ODD = r"[^\n\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]"
 #: Those of them in Latin-1, as bytes.
 PLAIN = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-PIECES, WORDS = 1_000_000, 100_000
+PIECES, WORDS = 400_000, 100_000
 ENDS = tuple(".,;:!?")
 
 

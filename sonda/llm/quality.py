@@ -93,7 +93,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offsets = buffers(texts)
         out = np.empty(len(texts))
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, 1 << 19):
             s, c = np.zeros(b - a), np.zeros(b - a)
             for doc, bucket in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(self.folded)):
                 s += np.bincount(doc, self.folded[bucket], b - a)
