@@ -69,7 +69,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes at a time; a longer row goes alone."""
     n, a = len(offsets) - 1, 0
     while a < n:
