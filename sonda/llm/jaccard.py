@@ -4,9 +4,9 @@ Sets are the distinct 5-word shingles of a document (fewer words: one shingle).
 run every set samples about ``branching`` of its shingles by a shared hash; sets that sampled the same shingle
 share a bucket. Small buckets are compared by brute force on 128-byte minhash sketches. In a large one all members
 are compared with a few leaders; those much like a leader are done there, and the rest are split again on shared
-tokens of their sketches, down to ``DEPTH`` levels; what is together then counts as candidates. Runs repeat until a pair at the threshold is found with probability ``recall``. Candidate pairs
-are held as connected components, and inside each component all pairs are verified on the shingles themselves,
-in cells of about 2 x ``BLOCK`` sets, or fewer long ones, so link counts are exact and no pair leaves a task.
+tokens of their sketches, down to ``DEPTH`` levels; what is together then counts as candidates. Runs repeat until a
+pair at the threshold is found with probability ``recall`` even at the deepest level. Candidate pairs are held as
+connected components, and inside each component all pairs are verified on the shingles themselves, in cells of about 2 x ``BLOCK`` sets, or fewer long ones, so link counts are exact and no pair leaves a task.
 
 Documents without words are in no class but their own and have no links. Each row counts as a document: a row
 repeated under its id is linked to its repetition. Rows with a null id have no name: they are compared with
@@ -16,8 +16,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +27,10 @@ from .words import U, mix, shingles, words
 
 SHINGLE, SIMILARITY, RECALL, BRANCHING = 5, 0.8, 0.999999, 2.0
 SMALL, DEPTH, BLOCK, BINS = 512, 8, 2048, 128
-#: Shared tokens that a set samples in a large bucket: the fewest at which pairs at the threshold don't die out.
-SPLIT = 1.5
+#: Tokens that a set samples in a large bucket at each further level; runs are counted with it (``runs_needed``).
+SPLIT = 2.0
+#: Deviation of a sketch's agreement from the similarity; the splits of all runs see the same sketch.
+SPREAD = 0.045
 #: Shingles for each of the BLOCK sets of a block; components of longer texts have smaller blocks.
 SHINGLES = 1024
 BROADCAST_IDS = 2_000_000
@@ -40,15 +40,23 @@ BROADCAST_IDS = 2_000_000
 SLACK, SURE, NEAR, LEADERS = 0.25, 0.72, 0.40, 32
 
 
-def runs_needed(similarity: float, recall: float, branching: float, levels: int = 2) -> int:
-    """Runs until a pair at the threshold has met in a bucket with probability ``recall``.
+def runs_needed(similarity: float, recall: float, branching: float, levels: int = DEPTH, split: float = SPLIT) -> int:
+    """Runs until a pair at the threshold has met in a bucket with probability ``recall``, at the deepest of ``levels``.
 
-    Sets of sizes n and s * n that share s * n shingles sample branching * s shared ones on average.
+    Sets of sizes n and s * n that share s * n shingles sample branching * s shared ones on average; at each further
+    level sketches that agree on a share x sample split * x shared tokens. That share is one for all runs, so the
+    chance of a miss is averaged over it (normal, deviation ``SPREAD``).
     """
-    p = 1.0
-    for _ in range(levels):
-        p = 1 - math.exp(-branching * similarity * p)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    at = np.linspace(-4, 4, 161)
+    weight = np.exp(-at * at / 2)
+    p = np.ones(len(at))
+    for _ in range(levels - 1):
+        p = 1 - np.exp(-split * np.clip(similarity + SPREAD * at, 0, 1) * p)
+    missed = np.exp(-branching * similarity * p)
+    runs = 1
+    while (weight @ missed**runs) / weight.sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _spread(seed: int) -> np.uint64:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from samples import prose
@@ -87,6 +89,42 @@ def test_runs_rise_with_recall():
     assert jaccard.runs_needed(0.8, 0.9, 2.0) < jaccard.runs_needed(0.8, 0.999999, 2.0) < 30
 
 
+def never_met(pairs, levels, seed=3):
+    """How many of ``pairs`` sets of 200 shingles share with their part of 160 (similarity 0.8) no path of ``levels`` levels in any run."""
+    rng = np.random.default_rng(seed)
+    runs, lost = jaccard.runs_needed(0.8, jaccard.RECALL, jaccard.BRANCHING), 0
+    for lo in range(0, pairs, 500):
+        n = min(500, pairs - lo)
+        h, first = [], [0]
+        for _ in range(n):
+            whole = rng.integers(0, 2**64, 200, np.uint64)
+            for x in (whole, whole[:160]):
+                h.append(np.sort(x))
+                first.append(first[-1] + len(x))
+        h, first = np.concatenate(h), np.array(first)
+        sketch = [x.tobytes() for x in jaccard._sketches(h, first)]
+        doc, path = jaccard._paths(h, first, runs, jaccard.BRANCHING)
+        run = np.cumsum(np.diff(doc, prepend=0) < 0)  # documents ascend within a run
+        assert run[-1] == runs - 1
+        met: set = set()
+        for r in range(runs):
+            rows = {(d, p) for d, p in zip(doc[run == r].tolist(), path[run == r].view(np.int64).tolist()) if d // 2 not in met}
+            for level in range(1, levels + 1):
+                rows = sorted((d, p) for d, p in rows if (d ^ 1, p) in rows)
+                if level == levels or not rows:
+                    break
+                batch = pa.RecordBatch.from_arrays([pa.array([p for _, p in rows]), pa.array([d for d, _ in rows]), pa.array([sketch[d] for d, _ in rows])], ["path", "key", "sketch"])
+                new = next(jaccard._split(level, jaccard.SPLIT)([batch]))
+                rows = set(zip(new.column("key").to_pylist(), new.column("path").to_pylist()))
+            met |= {d // 2 for d, _ in rows}
+        lost += n - len(met)
+    return lost
+
+
+def test_pairs_meet_at_the_deepest_level():
+    assert never_met(2500, jaccard.DEPTH) == 0
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(a, a + 1) for a in range(0, 60)] + [(100 + rnd.randrange(40), 100 + rnd.randrange(40)) for _ in range(30)] + [(7, 7), (None, 3)]
