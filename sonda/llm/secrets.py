@@ -29,6 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 LEAST, SAMPLE_DOCS, RANDOM, SEED = 16, 500, 4000, 11
+#: The share of ordinary samples that the threshold rises above; some are random strings without a digit, so not all.
+ORDINARY = 0.999
+#: Longer documents are not sampled (bytes), only scanned.
+SAMPLE_BYTES = 65536
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 _SYMBOL = np.zeros(256, np.int64)
@@ -66,7 +70,7 @@ class Markov:
 
 
 def train(samples: list[tuple[str, int]], smoothing: float = 0.5, bits: float = 24.0, rate: float = 1.0) -> Markov:
-    """From (token, 1: random or 0: ordinary). The thresholds rise above all ordinary samples where they must."""
+    """From (token, 1: random or 0: ordinary). The rate rises above ``ORDINARY`` of the ordinary samples where it must."""
     logs = []
     for label in (1, 0):
         tokens = [t.encode("ascii", "ignore") for t, y in samples if y == label]
@@ -79,7 +83,7 @@ def train(samples: list[tuple[str, int]], smoothing: float = 0.5, bits: float =
         logs.append(np.log2(n / n.sum(1, keepdims=True)))
     model = Markov(logs[0] - logs[1], bits, rate)
     plain = [model.llr(t) / len(t) for t, y in samples if not y and len(t) >= LEAST and not t.isdigit()]
-    return Markov(model.ratio, bits, max([rate, *(x + 0.1 for x in plain)]))
+    return Markov(model.ratio, bits, max(rate, float(np.quantile(plain, ORDINARY)) + 0.1) if plain else rate)
 
 
 def random_samples(n: int = RANDOM, seed: int = SEED) -> list[tuple[str, int]]:
@@ -125,10 +129,13 @@ def labelled(texts: list[str]) -> list[tuple[str, int]]:
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> Markov:
-    """Trained on random strings and on ``rows`` documents at most, those with the least hashes of id and text."""
+    """Trained on random strings and on ``rows`` documents at most, those with the least hashes of id and length of text.
+
+    Documents of more than ``SAMPLE_BYTES`` are left out of the sample, so that it is bounded on the driver.
+    """
     some = id_text(docs, id_col, text_col)
     at = F.xxhash64("id", F.length("text"))
-    got = some.select("text", at.alias("at"), F.octet_length("text").alias("n")).where("n <= 65536").orderBy("at", "text").limit(rows).select("text").toArrow()
+    got = some.select("text", at.alias("at"), F.octet_length("text").alias("n")).where(F.col("n") <= SAMPLE_BYTES).orderBy("at", "text").limit(rows).select("text").toArrow()
     return train([*random_samples(), *labelled(got.column("text").to_pylist())])
 
 

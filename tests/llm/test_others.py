@@ -82,6 +82,15 @@ def test_random_strings_and_identifiers(model):
     assert plain and not any(map(model.is_random, plain)) and not model.is_random("4041894974608795")
 
 
+def test_a_random_sample_without_digits_hides_no_secrets():
+    texts = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 100").df()["text"].tolist()
+    token = "qXvWzKjTbRnLcGhPmYsD"
+    tainted = secrets.train([*secrets.random_samples(1500), *secrets.labelled([*texts, f"see {token} there"])])
+    fresh = [s for s, _ in secrets.random_samples(400, seed=99)]
+    assert (token, 0) in secrets.labelled([f"see {token} there"]) and tainted.is_random(token)
+    assert sum(map(tainted.is_random, fresh)) > 0.93 * len(fresh)
+
+
 def test_spans_and_redaction(edge, edge_rows, nothing, model, spark):
     got = {str(r["doc_id"]): r["spans"] for r in secrets.spans(edge, model).collect()}
     assert len(got["2"]) == 0 and set(got) == {str(i) for i, _ in edge_rows}
