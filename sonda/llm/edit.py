@@ -102,12 +102,27 @@ def likeness(a: str, b: str) -> float:
     return float(min(1.0, max(0.0, ((w[:k] @ same) / w.sum() - CHANCE * w[:k].sum() / w.sum()) / (1 - CHANCE))))
 
 
+def _picks(count: int, bits: int) -> np.ndarray:
+    """Of each length to ``SAMPLES`` the ``bits`` places of each band: of the places a text has, those of the least hashes.
+
+    A place is drawn alike by all texts that have it, whatever their lengths.
+    """
+    rank = mix(np.arange(count * bits * SAMPLES, dtype=U) + U(SEED << 20)).reshape(count, bits, SAMPLES)
+    return np.stack([rank[:, :, :k].argmin(2) if k else np.zeros((count, bits), np.int64) for k in range(SAMPLES + 1)])
+
+
+_PICKS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def bands(fingerprint: str, count: int = 24, bits: int = 8) -> list[int]:
     """Hashes of ``count`` bands, each of ``bits`` samples drawn from the last two octaves that a text has in full.
 
     The octave is part of a band, and the one below it is banded too, so texts whose lengths stand on either side
-    of an octave share bands.
+    of an octave share bands. In the first octave, which short texts don't have in full, places are drawn by
+    ``_picks``, so that texts whose walks differ in length have most places in common.
     """
+    if (count, bits) not in _PICKS:
+        _PICKS[count, bits] = _picks(count, bits)
     top = max(0, len(fingerprint) // SAMPLES - 1)
     out = []
     for o in {top, max(0, top - 1)}:
@@ -115,9 +130,27 @@ def bands(fingerprint: str, count: int = 24, bits: int = 8) -> list[int]:
         if not len(part):
             continue
         for b in range(count):
-            pick = (mix(np.arange(bits, dtype=U) + U(b * bits + SEED)) % U(len(part))).astype(np.int64)
+            pick = _PICKS[count, bits][len(part), b] if o == 0 else (mix(np.arange(bits, dtype=U) + U(b * bits + SEED)) % U(len(part))).astype(np.int64)
             h = U(o * count + b)
             for v in part[pick]:
                 h = mix(np.array([h * U(257) + v], U))[0]
             out.append(int(h.view(np.int64)))
     return out
+
+
+def padded(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints as rows of one array, zeros behind them, and their lengths."""
+    n = np.array([len(f) for f in prints], np.int64)
+    out = np.zeros((len(prints), int(n.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1])[None] < n[:, None]] = np.frombuffer("".join(prints).encode(), np.uint8)
+    return out, n
+
+
+def likenesses(row: np.ndarray, length: int, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``likeness`` of one of the ``padded`` fingerprints, all distinct, to many."""
+    w = weights(rows.shape[1])
+    total = np.concatenate([[0.0], np.cumsum(w)])
+    k, m = np.minimum(lengths, length), np.maximum(lengths, length)
+    same = ((rows == row) & (row > 0)) @ w
+    got = (same / np.maximum(total[m], 1) - CHANCE * total[k] / np.maximum(total[m], 1)) / (1 - CHANCE)
+    return np.where(k > 0, np.clip(got, 0, 1), 0.0)

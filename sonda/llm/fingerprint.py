@@ -7,17 +7,19 @@ Repeated rows are rows like any other. Columns other than id and text are ignore
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, partitions, slices, staged
+from .common import buffers, id_text, partitions, slices, sorted_groups, staged
 from .components import components
-from .edit import bands, fingerprints, likeness
+from .edit import bands, fingerprints, likeness, likenesses, padded
 
 SIMILARITY = 0.8
+#: Nodes of a band in a block.
+BLOCK = 512
 
 
 def _chunks(texts: pa.Array, most: int):
@@ -105,14 +107,14 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 24, bits: int = 8, window: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 24, bits: int = 8, block: int = BLOCK) -> DataFrame:
     """One row per row: id and class_id, the least id of its class of fingerprints with likeness ``similarity`` or more.
 
-    Equal fingerprints are one node. In each band a node is verified by likeness against the ``window`` nodes before
-    it in the order of fingerprints, where those with a beginning in common are neighbours, and linked nodes form
-    classes. No band is gathered, whatever its size; a link is lost only where every band the two share parts them by
-    more than ``window`` nodes.
+    Equal fingerprints are one node. All pairs of nodes that share a band are verified by likeness, and linked nodes
+    form classes. A band is dealt over blocks of about ``block`` nodes, and each task holds the pairs of two blocks, so
+    no band is gathered, but its work is the square of its size. A link is lost only where two share no band.
     """
+    spark = docs.sparkSession
     prints = staged(with_fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "prints")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).where("id is not null")
 
@@ -122,25 +124,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             b = [bands(x, count, bits) for x in f]
             yield pa.RecordBatch.from_arrays([pa.array([y for x in b for y in x], pa.int64()), pa.array([f[i] for i, x in enumerate(b) for _ in x], pa.string())], ["band", "fingerprint"])
 
-    rows = nodes.select("fingerprint").mapInArrow(banded, "band bigint, fingerprint string").dropDuplicates()
-    rows = rows.repartition(partitions(docs.sparkSession), "band").sortWithinPartitions("band", "fingerprint")
+    rows = staged(nodes.select("fingerprint").mapInArrow(banded, "band bigint, fingerprint string").dropDuplicates(), "bands")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fingerprint")
+    cells = cells.repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j", "fingerprint")
 
     def edges(batches):
-        band, seen = None, deque(maxlen=window)
-        for batch in batches:
+        for t in sorted_groups(batches, ["band", "i", "j"]):
+            band, i, j, at = (t.column(c).to_numpy() for c in ("band", "i", "j", "block"))
+            f = t.column("fingerprint").to_pylist()
+            new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
-            for now, f in zip(batch.column("band").to_pylist(), batch.column("fingerprint").to_pylist()):
-                if now != band:
-                    band = now
-                    seen.clear()
-                for other in seen:
-                    if likeness(f, other) >= similarity:
-                        a.append(f)
-                        b.append(other)
-                seen.append(f)
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(f)]):
+                mat, n = padded(f[lo:hi])
+                left, right = np.flatnonzero(at[lo:hi] == i[lo]), np.flatnonzero(at[lo:hi] == j[lo])
+                for x in left.tolist():
+                    to = right[right > x] if i[lo] == j[lo] else right
+                    hit = to[likenesses(mat[x], int(n[x]), mat[to], n[to]) >= similarity]
+                    a += [f[lo + x]] * len(hit)
+                    b += [f[lo + y] for y in hit.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
-    found = components(rows.mapInArrow(edges, "a string, b string"))
+    found = components(cells.mapInArrow(edges, "a string, b string").distinct())
     known = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select("fingerprint", "id", F.coalesce("root", "fingerprint").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("fingerprint", "class_id")
     return prints.join(named, "fingerprint", "left").select(F.col("id").alias(id_col), "class_id")

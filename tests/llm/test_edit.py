@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from samples import prose
 from sonda.llm import edit, fingerprint
@@ -72,3 +73,37 @@ def test_near_duplicates_by_brute_force(spark, edge, nothing):
     classes = {r["doc_id"]: r["class_id"] for r in fingerprint.near_duplicates(edge).collect()}
     assert classes[5] == 1 and classes[10] == 10
     assert fingerprint.near_duplicates(nothing).count() == 0
+
+
+def test_short_copies_share_bands():
+    """Walks of different length below 64 samples."""
+    lost, near = 0, 0
+    for k in range(300):
+        a = prose(1000 + k, 4)[:18]
+        fa, fb = edit.fingerprints([a, a + "es"])
+        assert len(fa) < 64
+        if len(fa) != len(fb) and edit.likeness(fa, fb) >= 0.8:
+            near += 1
+            lost += not set(edit.bands(fa)) & set(edit.bands(fb))
+    assert near > 100 and lost <= near // 50
+
+
+def test_large_bands_are_verified_whole(spark, monkeypatch):
+    """Copies that differ early, with hundreds of other texts between them in one band."""
+    rnd = random.Random(4)
+    letters = "0123456789abcdef"
+    prints = ["".join(rnd.choice(letters) for _ in range(64)) for _ in range(400)]
+    prints += [("0" if f[0] != "0" else "f") + f[1:] for f in prints[:40]]
+    monkeypatch.setattr(fingerprint, "with_fingerprints", lambda docs, *_: docs)
+    monkeypatch.setattr(fingerprint, "bands", lambda *_: [1])
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id bigint, fingerprint string")
+    for block in (512, 50):
+        got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_duplicates(df, block=block).collect()}
+        assert got == {i: i - 400 if i >= 400 else i for i in range(440)}
+
+
+def test_likenesses_are_likeness():
+    prints = sorted({*edit.fingerprints([prose(i, 1 + i % 90)[: 3 + 7 * i] for i in range(60)]), ""})
+    mat, n = edit.padded(prints)
+    for x, f in enumerate(prints):
+        assert edit.likenesses(mat[x], int(n[x]), mat, n)[x + 1 :].tolist() == [edit.likeness(f, g) for g in prints[x + 1 :]]
