@@ -158,7 +158,8 @@ def held_out(id_col) -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[pa.Array, np.ndarray]:
     """At most ``rows`` labelled texts of at most ``most_bytes`` in all, by the least hash of id, without held-out rows.
 
-    Ids and labels are picked first, so only the picked texts are read and sent.
+    Ids and labels are picked first, so only the picked texts are read and sent. A text that does not fit into what is
+    left of the bytes is skipped, and the next ones are tried.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -167,12 +168,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = lab.join(known.select("id").distinct(), "id", "left_semi").orderBy(at, "id", "y").limit(rows).collect()
     want = docs.sparkSession.createDataFrame(picked, lab.schema)
     got = known.join(F.broadcast(want), "id").select("id", "y", "text", F.octet_length("text").alias("n"), at.alias("at")).dropDuplicates(["id", "y", "text"])
-    sizes = got.select("at", "id", "y", "n").toPandas().sort_values(["at", "id", "y", "n"])
-    sizes = sizes[sizes["n"].cumsum() <= most_bytes]
-    if sizes.empty:
+    sizes = got.groupBy("at", "id", "y", "n").agg(F.count("*").alias("c")).collect()
+    fit, room = [], most_bytes
+    for r in sorted(sizes):
+        if r["n"] * r["c"] <= room:
+            room -= r["n"] * r["c"]
+            fit.append((r["id"], r["y"], r["n"]))
+    if not fit:
         return pa.array([], pa.string()), np.zeros(0, np.int64)
-    if len(sizes) < len(picked):
-        got = got.where(F.col("at") <= int(sizes["at"].max()))
+    if len(fit) < len(sizes):
+        chosen = docs.sparkSession.createDataFrame(fit, got.select("id", "y", "n").schema)
+        got = got.join(F.broadcast(chosen), ["id", "y", "n"], "left_semi")
     t = got.select("at", "id", "y", "text").toArrow()
     t = t.take(pa.array(np.lexsort((t.column("y").to_numpy(), t.column("id").to_numpy(), t.column("at").to_numpy()))))
     return t.column("text").combine_chunks(), t.column("y").to_numpy()

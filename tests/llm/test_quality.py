@@ -54,3 +54,14 @@ def test_query_learns_nothing_of_held_out_rows(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fitted(docs, labels), quality.fitted(docs, turned)
     assert (a.folded == b.folded).all()
+
+
+def test_a_text_that_does_not_fit_is_skipped(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(40).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64(F.col("id").cast("string"))).limit(6)
+    ids = [r["id"] for r in ids.collect()]
+    docs = spark.createDataFrame([(d, "x" * (500 if k in (0, 3) else 10 + k)) for k, d in enumerate(ids)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id bigint, quality int")
+    texts, y = quality.sample(docs, labels, most_bytes=100)
+    assert [len(t) for t in texts.to_pylist()] == [11, 12, 14, 15] and y.tolist() == [1, 0, 0, 1]
