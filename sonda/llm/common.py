@@ -9,17 +9,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); one of this machine only where that is unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). On one machine (local mode) an own one, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sonda-")
@@ -32,11 +34,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``release`` deletes the table when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -44,6 +51,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the staged ones of ``tables``; others are left alone."""
+    for t in tables:
+        if path := t.__dict__.pop("staged_at", None):
+            delete(t.sparkSession, path)
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), so that other columns of any name never clash."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -53,6 +67,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, key: str, order: list[str], spread: Column) -> DataFrame:
+    """``number``: gapless from 0 among the rows of each ``key``, which has few values or many rows of one, or both.
+
+    Rows are ranked within (key, bucket of ``spread``); the buckets' sizes are summed up before. No key is sorted in
+    one task. ``df`` is read twice and must give the same rows again.
+    """
+    buckets = 4 * partitions(df.sparkSession)
+    at = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
+    sizes = at.groupBy(key, "__bucket").agg(F.count("*").alias("__n"))
+    base = sizes.select(key, "__bucket", (F.sum("__n").over(Window.partitionBy(key).orderBy("__bucket")) - F.col("__n")).alias("__base"))
+    place = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)) - 1
+    ranked = at.withColumn("__place", place).join(base, [key, "__bucket"])
+    return ranked.select(*df.columns, (F.col("__base") + F.col("__place")).cast("long").alias("number"))
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the n + 1 row offsets, without copies."""
     if isinstance(col, pa.ChunkedArray):

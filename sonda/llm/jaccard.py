@@ -2,11 +2,15 @@
 
 Sets are the distinct 5-word shingles of a document (fewer words: one shingle). Equal sets are one node. In each
 run every set samples about ``branching`` of its shingles by a shared hash; sets that sampled the same shingle
-share a bucket. Small buckets are compared by brute force on 128-byte minhash sketches. In a large one all members
-are compared with a few leaders; those much like a leader are done there, and the rest are split again on shared
-tokens of their sketches, down to ``DEPTH`` levels; what is together then counts as candidates. Runs repeat until a
-pair at the threshold is found with probability ``recall`` even at the deepest level. Candidate pairs are held as
-connected components, and inside each component all pairs are verified on the shingles themselves, in cells of about 2 x ``BLOCK`` sets, or fewer long ones, so link counts are exact and no pair leaves a task.
+share a bucket. Small buckets are compared by brute force on minhash sketches of ``BINS`` tokens of 16 bits. A set is covered,
+and goes no deeper, once so many of its samples lie in small buckets that a partner at the threshold can't have
+missed them all (``covering``). The others are split again inside their large buckets, on sampled shared tokens of
+their sketches. A few leaders of each bucket tell which tokens most of it has; those part nothing and are not
+sampled where a set has enough others. Where the leaders show that a bucket has a dense group, members much like
+its leaders are done there. Splits go down to ``DEPTH`` levels; what is then still together counts as candidates.
+Runs repeat until a pair at the threshold is found with probability ``recall`` even at the deepest level. Candidate
+pairs are held as connected components, and inside each component all pairs are verified on the shingles
+themselves, in cells of about 2 x ``BLOCK`` sets, or fewer long ones, so link counts are exact and no pair leaves a task.
 
 Documents without words are in no class but their own and have no links. Each row counts as a document: a row
 repeated under its id is linked to its repetition. Rows with a null id have no name: they are compared with
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, partitions, slices, sorted_groups, staged
+from .common import buffers, id_text, partitions, release, slices, sorted_groups, staged
 from .components import components
 from .words import U, mix, shingles, words
 
@@ -30,14 +34,22 @@ SMALL, DEPTH, BLOCK, BINS = 512, 8, 2048, 128
 #: Tokens that a set samples in a large bucket at each further level; runs are counted with it (``runs_needed``).
 SPLIT = 2.0
 #: Deviation of a sketch's agreement from the similarity; the splits of all runs see the same sketch.
-SPREAD = 0.045
+SPREAD = 0.04
 #: Shingles for each of the BLOCK sets of a block; components of longer texts have smaller blocks.
 SHINGLES = 1024
 BROADCAST_IDS = 2_000_000
-#: Sketches estimate similarity with a deviation of about 0.035 to 0.045; pairs above threshold - SLACK stay candidates.
+#: Sketches estimate similarity with a deviation of at most ``SPREAD`` at the threshold; pairs above threshold - SLACK stay candidates.
 #: Against leaders: a set is done where its sketch agrees on SURE or more. What is similar to it, by 0.8 or more, is
 #: then similar to the leader by 0.52 or more, by the triangle inequality, and NEAR leaves that three deviations.
-SLACK, SURE, NEAR, LEADERS = 0.25, 0.72, 0.40, 32
+SLACK, SURE, NEAR, LEADERS = 0.18, 0.72, 0.40, 32
+#: A leader stands for a dense group, and members may be done by it, if so many other leaders are as much like it.
+DENSE = 3
+#: Of the leaders: a token that more than this share of them have is common in the bucket.
+COMMON = 0.25
+#: A set samples common tokens only if its others aren't so much more of its sketch than partners may differ by.
+LEAST_RARE, MARGIN = 0.13, 2 * SPREAD
+#: Members of a large bucket that one task compares with its leaders.
+SLICE = 4096
 
 
 def runs_needed(similarity: float, recall: float, branching: float, levels: int = DEPTH, split: float = SPLIT) -> int:
@@ -59,6 +71,21 @@ def runs_needed(similarity: float, recall: float, branching: float, levels: int
     return runs
 
 
+def covering(similarity: float, recall: float, branching: float, runs: int) -> int:
+    """Samples in small buckets that cover a set, whatever its partners.
+
+    Of the samples of a set, a partner at the threshold lacks ``(1 - similarity) * branching * runs`` on average. It is
+    missed only if it lacks all those in small buckets; their number has at most a Poisson tail.
+    """
+    mean = (1 - similarity) * branching * runs
+    chance, below, t = np.exp(-mean), 0.0, 0
+    while 1 - below > 1 - recall:
+        below += chance
+        t += 1
+        chance *= mean / t
+    return t
+
+
 def _spread(seed: int) -> np.uint64:
     return mix(np.array([seed + 1], U) * U(0x9E3779B97F4A7C15))[0] | U(1)
 
@@ -78,15 +105,15 @@ def _set_keys(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
 
 
 def _sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One-permutation minhash: the top 7 bits of a shingle are its bin, a byte of each bin's least member is kept; 0: empty."""
+    """One-permutation minhash: the top 7 bits of a shingle are its bin, 16 bits of each bin's least member are kept; 0: empty."""
     n = len(first) - 1
-    out = np.zeros((n, BINS), np.uint8)
+    out = np.zeros((n, BINS), np.uint16)
     if len(h):
         doc = np.repeat(np.arange(n), np.diff(first))
         cell = doc * BINS + (h >> U(57)).astype(np.int64)
         lead = np.ones(len(h), bool)
         lead[1:] = cell[1:] != cell[:-1]
-        out.reshape(-1)[cell[lead]] = 1 + (mix(h[lead]) % U(255)).astype(np.uint8)
+        out.reshape(-1)[cell[lead]] = 1 + (mix(h[lead]) % U(65535)).astype(np.uint16)
     return out
 
 
@@ -160,7 +187,7 @@ def _bucket_edges(least: float):
         for t in sorted_groups(batches, ["path"]):
             path = t.column("path").to_numpy()
             keys = t.column("key").combine_chunks()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(path), BINS)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(path), BINS)
             starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
             ends = np.append(starts[1:], len(path))
             # in most buckets each set is like the one before it, and that chain says all
@@ -181,72 +208,90 @@ def _bucket_edges(least: float):
     return run
 
 
-def _follow(least: float, sure: float):
-    """Members of large buckets against the ``LEADERS`` of their bucket: edges, and whether a member is done.
+def _bucket(lead: list[tuple[bytes, bytes]], least: float, sure: float):
+    """The leaders of a bucket: their sketches, and of those that stand for dense groups the names of their groups."""
+    lead.sort()
+    ls = np.frombuffer(b"".join(x[1] for x in lead), np.uint16).reshape(len(lead), BINS)
+    like = np.stack([_alike(ls, x) for x in ls])
+    dense = np.flatnonzero((like >= sure).sum(1) > DENSE)
+    near = like[np.ix_(dense, dense)] >= least
+    root = _roots(len(dense), *np.nonzero(near))
+    return ls, dense, np.array([lead[dense[r]][0] for r in root.tolist()], object)
+
+
+def _follow(depth: int, similarity: float, branching: float):
+    """Members of large buckets against the ``LEADERS`` of their bucket: edges, and the next paths of those not done.
 
-    Every member is compared with every leader. One that is ``sure`` to be like a leader is done with this bucket: by
-    the triangle inequality of Jaccard distance its own partners are near enough to that leader to get an edge too.
+    Every member is compared with every leader. One that is sure to be like the leader of a dense group is done with this
+    bucket: by the triangle inequality of Jaccard distance its own partners are near enough to that leader to get an
+    edge too. The others sample tokens (bin, value) of their sketches: rare ones of this bucket, at such a rate that of those
+    a partner must share ``branching * similarity`` are sampled on average, and common ones only where rare ones are few.
     """
+    least, sure = similarity - 0.8 + NEAR, similarity - 0.8 + SURE
 
     def run(batches):
         known: dict = {}
+        bins = np.arange(BINS, dtype=U)[None] * U(65536)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             path = batch.column("path").to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, BINS)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(n, BINS)
             done, edges = np.zeros(n, bool), [[] for _ in range(n)]
-            keys = batch.column("key")
+            full = sketch > 0
+            pick = np.zeros(sketch.shape)  # of each token the chance that it is sampled
             for p in np.unique(path).tolist():
                 rows = np.flatnonzero(path == p)
                 if p not in known:
                     if len(known) > 256:
                         known.clear()
-                    lead = sorted((x["key"], x["sketch"]) for x in batch.column("leaders")[int(rows[0])].as_py())
-                    ls = np.frombuffer(b"".join(x[1] for x in lead), np.uint8).reshape(len(lead), BINS)
-                    near = np.stack([_alike(ls, x) >= least for x in ls])
-                    known[p] = [x[0] for x in lead], ls, _roots(len(lead), *np.nonzero(near))
-                names, ls, root = known[p]
-                like = np.stack([_alike(sketch[rows], x) for x in ls], 1)
-                done[rows] = (like >= sure).any(1)
-                for r, hit in zip(rows.tolist(), like >= least):
-                    if hit.any():
-                        edges[r] = [names[x] for x in np.unique(root[hit]).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), keys, batch.column("sketch"), pa.array(done), pa.array(edges, pa.list_(pa.binary()))], ["path", "key", "sketch", "done", "near"])
+                    known[p] = _bucket([(x["key"], x["sketch"]) for x in batch.column("leaders")[int(rows[0])].as_py()], least, sure)
+                ls, dense, names = known[p]
+                part = sketch[rows]
+                had = np.zeros(part.shape, np.uint8)
+                for x in ls:
+                    had += part == x
+                rare = full[rows] & (had <= COMMON * len(ls))
+                size = np.maximum(full[rows].sum(1), 1)
+                left = rare.sum(1) / size - (1 - similarity)  # what a partner must have of them
+                pick[rows] = (branching * similarity / (np.maximum(left, LEAST_RARE) - MARGIN) / size)[:, None] * rare
+                pick[rows] += ((left < LEAST_RARE) * branching / size)[:, None] * (full[rows] & ~rare)
+                if len(dense):
+                    like = np.stack([_alike(part, ls[x]) for x in dense.tolist()], 1)
+                    done[rows] = (like >= sure).any(1)
+                    for r, hit in zip(rows.tolist(), like >= least):
+                        if hit.any():
+                            edges[r] = sorted(set(names[hit].tolist()))
+            at = path.view(U)
+            token = mix((bins + sketch.astype(U)) ^ mix(at + U(depth))[:, None])
+            row, cell = np.nonzero(~done[:, None] & (token.astype(np.float64) < pick * 2.0**64))
+            new = mix(token[row, cell] + at[row]).view(np.int64)
+            off = np.searchsorted(row, np.arange(n + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sketch"), pa.array(edges, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(new))], ["key", "sketch", "near", "next"])
 
     return run
 
 
-def _split(level: int, branching: float):
-    """The next paths of each set in a large bucket: it samples shared tokens (bin, byte) of its sketch."""
+def _sized(level: DataFrame) -> DataFrame:
+    """(path, key) with the number of sets in each bucket, without buckets of one."""
+    return level.join(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")
 
-    def run(batches):
-        bins = np.arange(BINS, dtype=U)[None] * U(256)
-        for batch in batches:
-            n = batch.num_rows
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, BINS)
-            path = batch.column("path").to_numpy().view(U)
-            token = mix((bins + sketch.astype(U)) ^ mix(path + U(level))[:, None])
-            full = sketch > 0
-            limit = np.minimum(branching / np.maximum(full.sum(1), 1), 1.0) * 2.0**64
-            row, at = np.nonzero(full & (token.astype(np.float64) <= limit[:, None]))
-            new = mix(token[row, at] + path[row]).view(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(new), batch.column("key").take(take), batch.column("sketch").take(take)], ["path", "key", "sketch"])
 
-    return run
+def _uncovered(wide: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The rows of ``wide`` of sets with fewer than ``least`` samples outside of large buckets."""
+    held = wide.groupBy("key").agg(F.count("*").alias("held"))
+    todo = held.join(nodes.select("key", F.size("paths").alias("sampled")), "key").where(F.col("sampled") - F.col("held") < least).select("key")
+    return wide.join(todo, "key")
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY, branching: float = BRANCHING, small: int = SMALL) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, branching: float = BRANCHING, small: int = SMALL) -> DataFrame:
     """(key, component) of every node (key, sketch, paths) that may be similar to another one."""
-    spark, parts = nodes.sparkSession, partitions(nodes.sparkSession)
-    paths = nodes.select(F.explode("paths").alias("path"), "key")
-    shared = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    shape = "path bigint, key binary, sketch binary"
-    level = paths.join(shared, "path").join(nodes.select("key", "sketch"), "key").select("path", "n", "key", "sketch")
-    level = staged(level, "paths")
-    edges = []
+    parts = partitions(nodes.sparkSession)
+    enough = covering(similarity, recall, branching, runs_needed(similarity, recall, branching))
+    paths = _sized(nodes.select(F.explode("paths").alias("path"), "key"))
+    level = staged(paths.join(nodes.select("key", "sketch"), "key").select("path", "n", "key", "sketch"), "paths")
+    edges, used = [], [level]
     for depth in range(1, DEPTH + 1):
         tight = level.where(F.col("n") <= small).select("path", "key", "sketch").repartition(parts, "path").sortWithinPartitions("path", "key")
         edges.append(staged(tight.mapInArrow(_bucket_edges(similarity - SLACK), "a binary, b binary").distinct(), "near"))
@@ -257,17 +302,27 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, branching: floa
             least = wide.groupBy("path").agg(F.min("key").alias("b"))
             edges.append(wide.join(least, "path").select(F.col("key").alias("a"), "b").where("a <> b").distinct())
             break
-        # leaders: of each of LEADERS hash slots the least member
-        slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"))
-        led = wide.select("path", "key", "sketch").join(slot.groupBy("path").agg(F.collect_list("leader").alias("leaders")), "path")
-        led = staged(led.mapInArrow(_follow(similarity - 0.8 + NEAR, similarity - 0.8 + SURE), f"{shape}, done boolean, near array<binary>"), "led")
+        if depth == 1:
+            wide = _uncovered(wide, nodes, enough)
+        # leaders: of each of LEADERS hash slots the least member; they are sent to every slice of their bucket
+        slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"), F.max("n").alias("n"))
+        slices_of = F.ceil(F.col("n") / SLICE).cast("int")
+        led = slot.groupBy("path").agg(F.collect_list("leader").alias("leaders"), F.max("n").alias("n"))
+        led = led.select("path", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), "leaders")
+        members = wide.select("path", F.pmod(F.xxhash64("key"), slices_of).cast("int").alias("slice"), "key", "sketch")
+        led = staged(members.join(led, ["path", "slice"]).mapInArrow(_follow(depth, similarity, SPLIT), "key binary, sketch binary, near array<binary>, next array<bigint>"), "led")
         edges.append(led.select(F.col("key").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct())
-        new = staged(led.where("not done").select("path", "key", "sketch").mapInArrow(_split(depth, SPLIT), shape), "split")
-        level = staged(new.join(new.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path").select("path", "n", "key", "sketch"), "paths")
+        new = led.select(F.explode("next").alias("path"), "key", "sketch")
+        level = staged(_sized(new).select("path", "n", "key", "sketch"), "paths")
+        used += [led, level]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return components(out).select(F.col("node").alias("key"), F.col("root").alias("component"))
+    whole = components(out)
+    found = whole.select(F.col("node").alias("key"), F.col("root").alias("component"))
+    found.staged_at = whole.staged_at
+    release(*used, *edges)
+    return found
 
 
 def _verify(num: int, den: int):
@@ -357,10 +412,12 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     full = sig.where("key is not null and id is not null")
     sets = full.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"))
     one = full.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-    found = staged(candidates(one, similarity, branching, small), "candidates")
-    members = found.join(sets, "key")
+    found = candidates(one, similarity, recall, branching, small)
+    members_of = staged(found.join(sets, "key"), "candidates")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("shingles") / (block * SHINGLES)))
-    members = members.join(members.groupBy("component").agg(blocks.cast("int").alias("blocks")), "component")
+    # a table of its own, so that the rows of one large component are joined with it in several tasks
+    sizes = staged(members_of.groupBy("component").agg(F.count("*").alias("sets"), blocks.cast("int").alias("blocks")), "components")
+    members = members_of.join(sizes.where("sets > 1"), "component")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     texts = id_text(docs, id_col, text_col)
     placed = members.join(texts, texts["id"] == members["id"]).select("component", "key", "copies", "block", "blocks", "text")
@@ -371,7 +428,8 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     classes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = sets.join(classes, sets["key"] == classes["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root"))
     known = staged(known.join(counts, "key", "left").select("key", "id", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
-    names = known.groupBy("root").agg(F.min("id").alias("class_id"))
+    release(found, members_of, sizes, links, classes)
+    names = staged(known.groupBy("root").agg(F.min("id").alias("class_id")), "names")
     named = known.join(names, "root").select("key", "class_id", "n_links")
     out = sig.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -6,6 +6,7 @@ import pytest
 
 from samples import prose
 from sonda.llm import jaccard
+from sonda.llm.common import staged
 from sonda.llm.components import components
 
 import re
@@ -89,20 +90,27 @@ def test_runs_rise_with_recall():
     assert jaccard.runs_needed(0.8, 0.9, 2.0) < jaccard.runs_needed(0.8, 0.999999, 2.0) < 30
 
 
-def never_met(pairs, levels, seed=3):
-    """How many of ``pairs`` sets of 200 shingles share with their part of 160 (similarity 0.8) no path of ``levels`` levels in any run."""
+def pairs_of_sets(rng, n, common=0):
+    """Hashes and offsets of ``n`` pairs of a set of 200 shingles and its part of 160 (similarity 0.8); the first ``common`` are in all."""
+    h, first = [], [0]
+    shared = rng.integers(0, 2**64, common, np.uint64)
+    for _ in range(n):
+        whole = np.concatenate([shared, rng.integers(0, 2**64, 200 - common, np.uint64)])
+        for x in (whole, whole[:160]):
+            h.append(np.sort(x))
+            first.append(first[-1] + len(x))
+    return shared, np.concatenate(h), np.array(first)
+
+
+def never_met(pairs, levels, common=0, seed=3):
+    """How many of ``pairs`` share no path of ``levels`` levels in any run, all buckets being large."""
     rng = np.random.default_rng(seed)
     runs, lost = jaccard.runs_needed(0.8, jaccard.RECALL, jaccard.BRANCHING), 0
     for lo in range(0, pairs, 500):
         n = min(500, pairs - lo)
-        h, first = [], [0]
-        for _ in range(n):
-            whole = rng.integers(0, 2**64, 200, np.uint64)
-            for x in (whole, whole[:160]):
-                h.append(np.sort(x))
-                first.append(first[-1] + len(x))
-        h, first = np.concatenate(h), np.array(first)
+        _, h, first = pairs_of_sets(rng, n, common)
         sketch = [x.tobytes() for x in jaccard._sketches(h, first)]
+        leaders = [{"key": -1 - i, "sketch": sketch[2 * i]} for i in range(jaccard.LEADERS)]
         doc, path = jaccard._paths(h, first, runs, jaccard.BRANCHING)
         run = np.cumsum(np.diff(doc, prepend=0) < 0)  # documents ascend within a run
         assert run[-1] == runs - 1
@@ -113,16 +121,63 @@ def never_met(pairs, levels, seed=3):
                 rows = sorted((d, p) for d, p in rows if (d ^ 1, p) in rows)
                 if level == levels or not rows:
                     break
-                batch = pa.RecordBatch.from_arrays([pa.array([p for _, p in rows]), pa.array([d for d, _ in rows]), pa.array([sketch[d] for d, _ in rows])], ["path", "key", "sketch"])
-                new = next(jaccard._split(level, jaccard.SPLIT)([batch]))
-                rows = set(zip(new.column("key").to_pylist(), new.column("path").to_pylist()))
+                same = pa.DictionaryArray.from_arrays(pa.array([0] * len(rows)), pa.array([leaders])).dictionary_decode()
+                batch = pa.RecordBatch.from_arrays([pa.array([p for _, p in rows]), pa.array([d for d, _ in rows]), pa.array([sketch[d] for d, _ in rows]), same], ["path", "key", "sketch", "leaders"])
+                new = next(jaccard._follow(level, 0.8, jaccard.SPLIT)([batch]))
+                rows = {(d, p) for d, x in zip(new.column("key").to_pylist(), new.column("next").to_pylist()) for p in x}
             met |= {d // 2 for d, _ in rows}
         lost += n - len(met)
     return lost
 
 
-def test_pairs_meet_at_the_deepest_level():
-    assert never_met(2500, jaccard.DEPTH) == 0
+@pytest.mark.parametrize("pairs, levels, common", [(200, jaccard.DEPTH, 0), (2000, 2, 80), (2000, 2, 120), (2000, 2, 150)])
+def test_pairs_meet_at_deep_levels(pairs, levels, common):
+    """Also where two fifths or more of the larger set are in every set of the bucket."""
+    assert never_met(pairs, levels, common) == 0
+
+
+@pytest.mark.parametrize("common", [40, 60, 80, 100])
+def test_covered_sets_meet_in_small_buckets(common):
+    """Shingles in all sets have large buckets; sets with enough other samples stop there and still find their partners."""
+    rng = np.random.default_rng(9)
+    runs = jaccard.runs_needed(0.8, jaccard.RECALL, jaccard.BRANCHING)
+    enough, stopped = jaccard.covering(0.8, jaccard.RECALL, jaccard.BRANCHING, runs), 0
+    for _ in range(8):
+        shared, h, first = pairs_of_sets(rng, 1000, common)
+        doc, path = jaccard._paths(h, first, runs, jaccard.BRANCHING)
+        wide = {p for r in range(runs) for p in jaccard.mix(shared + jaccard._spread(r)).tolist()}
+        small = [set() for _ in range(2000)]
+        for d, p in zip(doc.tolist(), path.tolist()):
+            if p not in wide:
+                small[d].add(p)
+        for a, b in zip(small[::2], small[1::2]):
+            if len(a) >= enough or len(b) >= enough:
+                stopped += 1
+                assert a & b
+    assert stopped or common == 100
+
+
+def templated(n, unlike=50):
+    """Texts of one template of 100 words with words of their own behind it: pairs at a similarity of about 0.5, no links."""
+    base = prose(5, 100)
+    return [(i, base + " " + " ".join(f"w{i}x{j}" for j in range(unlike))) for i in range(n)]
+
+
+def test_templates_without_links_take_linear_work(spark, monkeypatch):
+    def rows_made(n):
+        made = []
+        monkeypatch.setattr(jaccard, "staged", lambda df, name: made.append((name, out := staged(df, name))) or out)
+        monkeypatch.setattr(jaccard, "release", lambda *tables: None)
+        got = jaccard.similar(spark.createDataFrame(templated(n), "doc_id bigint, text string").repartition(4), small=64)
+        assert got.where("class_id <> doc_id or n_links > 0").isEmpty()
+        counts = {}
+        for name, t in made:
+            counts[name] = counts.get(name, 0) + t.count()
+        return counts
+
+    one, four = rows_made(500), rows_made(2000)
+    assert four["paths"] < 4.8 * one["paths"] and four["led"] < 4.8 * one["led"]
+    assert four.get("candidates", 0) <= 2000 and four["links"] == 0
 
 
 def test_components(spark):
