@@ -28,11 +28,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
-LEAST, SAMPLE_DOCS, RANDOM, SEED = 16, 500, 4000, 11
+LEAST, SAMPLE_DOCS, SAMPLE_TOKENS, RANDOM, SEED = 16, 500, 200_000, 4000, 11
 #: The share of ordinary samples that the threshold rises above; some are random strings without a digit, so not all.
 ORDINARY = 0.999
-#: Longer documents are not sampled (bytes), only scanned.
-SAMPLE_BYTES = 65536
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 _SYMBOL = np.zeros(256, np.int64)
@@ -105,49 +103,58 @@ desafortunadamente responsabilidad administración comunicaciones electroencefal
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 
-def labelled(texts: list[str]) -> list[tuple[str, int]]:
-    """Samples of texts: values of pattern matches are random, tokens that start in no match are ordinary.
+def labelled(text: str) -> list[tuple[str, int]]:
+    """Samples of a text: values of pattern matches are random, tokens that start in no match are ordinary.
 
     Neighbouring words joined as identifiers (snake_case, camelCase, paths) are ordinary too.
     """
     out = []
-    for text in (PLAIN, *texts):
-        spans = base_spans(text)
-        for a, kind, b in spans:
-            value = ASSIGN.match(text, a)[2] if kind == 0 else text[a:b]
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-                out.append((value, 1))
-        taken = np.zeros(len(text) + 1, bool)
-        for a, _, b in spans:
-            taken[a:b] = True
-        words = [m[0] for m in _WORD.finditer(text) if not taken[m.start() : m.end()].any()]
-        words = [w for w in words if not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or len(w) < LEAST]
-        out += [(w, 0) for w in words]
-        for a, b in zip(words[::8], words[1::8]):
-            out += [(f"{a}_{b}".lower(), 0), (a.lower() + b.capitalize(), 0), (f"/{a}/{b}", 0), (f"{a}-{b}", 0), (f"{a}_{b}".upper(), 0), (f"{a}={len(b)}", 0)]
+    spans = base_spans(text)
+    for a, kind, b in spans:
+        value = ASSIGN.match(text, a)[2] if kind == 0 else text[a:b]
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            out.append((value, 1))
+    taken = np.zeros(len(text) + 1, bool)
+    for a, _, b in spans:
+        taken[a:b] = True
+    words = [m[0] for m in _WORD.finditer(text) if not taken[m.start() : m.end()].any()]
+    words = [w for w in words if not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or len(w) < LEAST]
+    out += [(w, 0) for w in words]
+    for a, b in zip(words[::8], words[1::8]):
+        out += [(f"{a}_{b}".lower(), 0), (a.lower() + b.capitalize(), 0), (f"/{a}/{b}", 0), (f"{a}-{b}", 0), (f"{a}_{b}".upper(), 0), (f"{a}={len(b)}", 0)]
     return list(dict.fromkeys(out))
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> Markov:
-    """Trained on random strings and on ``rows`` documents at most, those with the least hashes of id and length of text.
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS, tokens: int = SAMPLE_TOKENS) -> Markov:
+    """Trained on random strings and on the labelled tokens of ``rows`` documents, those of the least hashes of id and text.
 
-    Documents of more than ``SAMPLE_BYTES`` are left out of the sample, so that it is bounded on the driver.
+    The hashes are picked first, so texts stay where they are; a sampled text is read whole, whatever its length, and
+    its tokens are labelled by the executors. The driver gets at most ``tokens`` distinct ones, those of the least hashes.
     """
-    some = id_text(docs, id_col, text_col)
-    at = F.xxhash64("id", F.length("text"))
-    got = some.select("text", at.alias("at"), F.octet_length("text").alias("n")).where(F.col("n") <= SAMPLE_BYTES).orderBy("at", "text").limit(rows).select("text").toArrow()
-    return train([*random_samples(), *labelled(got.column("text").to_pylist())])
+    some = id_text(docs, id_col, text_col).withColumn("at", F.xxhash64("id", "text"))
+    least = [r["at"] for r in some.select("at").distinct().orderBy("at").limit(rows).collect()]
+    picked = some.where(F.col("at").isin(least)) if least else some.where("false")
+
+    def run(batches):
+        for batch in batches:
+            got = list(dict.fromkeys(x for t in batch.column("text").to_pylist() for x in labelled(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array([y for _, y in got], pa.int32())], ["token", "y"])
+
+    found = picked.select("text").mapInArrow(run, "token string, y int").distinct()
+    got = found.orderBy(F.xxhash64("token", "y"), "token", "y").limit(tokens).toArrow()
+    return train([*random_samples(), *labelled(PLAIN), *zip(got.column("token").to_pylist(), got.column("y").to_pylist())])
 
 
 def all_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
-    """Pattern matches and the random tokens that overlap none of them."""
+    """Pattern matches and the random tokens that overlap none of them, in one pass over both in order of place."""
     out = base_spans(text)
-    more = []
+    more, at, end = [], 0, 0  # the matches that start before a token's end, and how far they reach
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, _, y in out):
-            continue
-        if model.is_random(m[0]):
+        while at < len(out) and out[at][0] < b:
+            end = max(end, out[at][2])
+            at += 1
+        if end <= a and model.is_random(m[0]):
             more.append((a, 3, b))
     return sorted([*out, *more]) if more else out
 
