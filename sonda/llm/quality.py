@@ -1,16 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, of the hashed 3- to 5-byte n-grams inside its
-words (marked at both ends), and of its pairs of words, which are hashed to one of two buckets: the second word
-repeats the first, or not. A softmax layer reads the average. Vectors and layer are trained together by numpy
+A document is the average of learned vectors of its hashed words and of the hashed 3- to 5-character n-grams inside
+its words (marked at both ends). A softmax layer reads the average. Vectors and layer are trained together by numpy
 stochastic gradient descent on at most ``TRAIN_ROWS`` labelled rows, those with the least hashes of their ids, so
 the sample is the same however the table is laid out. The layer is linear in the average, so for scoring each
 bucket's vector is folded into one number and a score is a softmax over the average of those.
 
-Features are of whole texts, whatever their length. Null and empty texts have no features and score by the bias
-alone. Labels that are null, or of ids that are null or not in the table, are not learned; an id labelled twice
-counts twice. With rows of one label only, or none, scores are the share of label 1 (0.5 without any). Columns
-other than id, text and label are ignored. An empty table gives no rows.
+Features are of whole texts, whatever their length, in training too. Null and empty texts have no features and score
+by the bias alone. Labels that are null, or of ids that are null or not in the table, are not learned; an id labelled
+twice alike counts once, and once with each label if they differ. With rows of one label only, or none, scores are the
+share of label 1 (0.5 without any). Columns other than id, text and label are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import buffers, id_text, slices
 from .words import U, mix, powers
 
-TRAIN_ROWS, TRAIN_BYTES = 4000, 32 << 20
+TRAIN_ROWS = 4000
 BUCKETS, DIM, EPOCHS, RATE, SEED, BATCH = 1 << 17, 8, 6, 0.3, 7, 16
 GRAMS = (3, 4, 5)
 #: Few samples are gone through more often, up to 60 times, until so many documents were visited.
@@ -35,13 +34,15 @@ VISITS = 24_000
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     """Arrays of (document, bucket), one after another: of the words, and of each length of n-gram.
 
-    Words are runs between ASCII blanks here, with their case and marks, for these tell prose from junk.
+    Words are runs of characters between ASCII blanks here, with their case and marks, for these tell prose from junk.
     """
-    n = len(data)
-    blank = data <= 32
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(cp) < len(data):  # from bytes to characters
+        offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    n = len(cp)
     cut = np.zeros(n + 1, bool)
     cut[offsets[:-1]] = True
-    inside = ~blank
+    inside = cp > 32
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | cut[:n]))
@@ -54,19 +55,16 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     lens = ends - starts
     at = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    h = mix(np.add.reduceat((data[inside].astype(U) + U(1)) * powers(int(lens.max()))[place], at) + lens.astype(U))
+    marks = cp[inside]
+    h = mix(np.add.reduceat((marks.astype(U) + U(1)) * powers(int(lens.max()))[place], at) + lens.astype(U))
     yield doc, (h % U(buckets)).astype(np.int64)
-    # n-grams of two words, told apart only by whether the second repeats the first
-    again = np.zeros(len(h), np.int64)
-    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    yield doc, again
     # each word between a 0x02 and a 0x03, all in a row
     total = int(lens.sum()) + 2 * len(lens)
     flat = np.empty(total, np.uint32)
     first = at + 2 * np.arange(len(lens))
     flat[first] = 2
     flat[first + lens + 1] = 3
-    flat[np.repeat(first + 1, lens) + place] = data[inside]
+    flat[np.repeat(first + 1, lens) + place] = marks
     owner = np.repeat(doc, lens + 2)
     word = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 2)
     for k in GRAMS:
@@ -102,6 +100,11 @@ class Model:
         return out
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` places the sum of its ``rows``."""
+    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], 1).astype(np.float32)
+
+
 def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, buckets: int = BUCKETS, seed: int = SEED) -> Model:
     """Fit on labelled texts by stochastic gradient descent over small batches of documents."""
     y = np.asarray(labels, np.int64)
@@ -127,12 +130,15 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
     moved, moved_layer = np.full(buckets, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32)
     weight = np.where(y == 1, 1.0, np.sqrt((y == 1).sum() / max(1, (y == 0).sum()))).astype(np.float32)
     epochs = max(epochs, min(60, VISITS // len(y)))
+    lens = np.array([len(b) for b, _ in bags])
     for epoch in range(epochs):
         now = np.float32(rate * (1 - epoch / epochs))
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            mean = np.stack([bags[i][1] @ vectors[bags[i][0]] if len(bags[i][0]) else np.zeros(dim, np.float32) for i in pick])
+            bucket, share = (np.concatenate([bags[i][k] for i in pick]) for k in (0, 1))
+            row = np.repeat(np.arange(len(pick)), lens[pick])
+            mean = _sums(row, share[:, None] * vectors[bucket], len(pick))
             z = mean @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -143,10 +149,11 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
             moved_layer += grad * grad
             layer -= now * grad / np.sqrt(moved_layer)
             bias -= now * p.sum(0)
-            for row, i in zip(back, pick):
-                b, share = bags[i]
-                moved[b] += share * share * np.float32(row @ row)
-                vectors[b] -= (now * share / np.sqrt(moved[b]))[:, None] * row
+            # every bucket of the batch takes one step
+            hit, at = np.unique(bucket, return_inverse=True)
+            step = _sums(at, share[:, None] * back[row], len(hit))
+            moved[hit] += (step * step).sum(1)
+            vectors[hit] -= now * step / np.sqrt(moved[hit])[:, None]
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -155,33 +162,21 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[pa.Array, np.ndarray]:
-    """At most ``rows`` labelled texts of at most ``most_bytes`` in all, by the least hash of id, without held-out rows.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> tuple[pa.Array, np.ndarray]:
+    """At most ``rows`` labels, those of the least hashes of their ids, with their whole texts; none of held-out rows.
 
-    Ids and labels are picked first, so only the picked texts are read and sent. A text that does not fit into what is
-    left of the bytes is skipped, and the next ones are tried.
+    Ids and labels are picked first, so only the picked texts are read and sent.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).distinct()
     known = id_text(docs, id_col, text_col)
     at = F.xxhash64(F.col("id").cast("string"))
     picked = lab.join(known.select("id").distinct(), "id", "left_semi").orderBy(at, "id", "y").limit(rows).collect()
     want = docs.sparkSession.createDataFrame(picked, lab.schema)
-    got = known.join(F.broadcast(want), "id").select("id", "y", "text", F.octet_length("text").alias("n"), at.alias("at")).dropDuplicates(["id", "y", "text"])
-    sizes = got.groupBy("at", "id", "y", "n").agg(F.count("*").alias("c")).collect()
-    fit, room = [], most_bytes
-    for r in sorted(sizes):
-        if r["n"] * r["c"] <= room:
-            room -= r["n"] * r["c"]
-            fit.append((r["id"], r["y"], r["n"]))
-    if not fit:
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
-    if len(fit) < len(sizes):
-        chosen = docs.sparkSession.createDataFrame(fit, got.select("id", "y", "n").schema)
-        got = got.join(F.broadcast(chosen), ["id", "y", "n"], "left_semi")
-    t = got.select("at", "id", "y", "text").toArrow()
-    t = t.take(pa.array(np.lexsort((t.column("y").to_numpy(), t.column("id").to_numpy(), t.column("at").to_numpy()))))
-    return t.column("text").combine_chunks(), t.column("y").to_numpy()
+    # an id that has several texts is learned from by the least of them
+    t = known.join(F.broadcast(want), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select(at.alias("at"), "id", "y", "text").toArrow()
+    t = t.sort_by([("at", "ascending"), ("id", "ascending"), ("y", "ascending")])
+    return t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()), t.column("y").to_numpy()
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
