@@ -16,12 +16,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bins import NODES, pack
-from .common import id_text, partitions, per_worker, staged
+from .common import id_text, numbered, per_worker, staged
 from .encoding import Encoder
 
 LENGTH = 2048
@@ -82,13 +82,7 @@ def packed(parts: DataFrame, length: int = LENGTH, nodes: int = NODES) -> DataFr
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # one row for each length
     plan, _ = pack(counts, length, nodes)
     table = spark.sparkContext.broadcast(places(plan))
-    buckets = 4 * partitions(spark)
-    at = parts.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int"))
-    sizes = at.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    base = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
-    number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "key", "piece")) - 1
-    ranked = at.withColumn("number", number).join(base, ["length", "bucket"]).withColumn("number", F.col("number") + F.col("base"))
-    ranked = ranked.select(*parts.columns, "number")
+    ranked = numbered(parts, "length", ["id", "key", "piece"], F.xxhash64("key", "piece"))
     kept = parts.columns
     names = [*kept, "sequence_id", "offset"]
     shape = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

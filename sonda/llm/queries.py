@@ -92,7 +92,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shards.assign(table(spark, sf_dir, "documents"), 24)
-    return got.select(F.col("id").alias("doc_id"), "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ FROM documents d LEFT JOIN c ON c.node = d.doc_id LEFT JOIN k ON k.x = d.doc_id
 """,
     "op7_url_filters": r"""
 WITH h AS (
-  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS raw, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS d
+  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1), '') AS raw, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS d
   FROM pages),
 c AS (SELECT page_id, d, regexp_replace(raw, '\.$', '') AS host FROM h),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),

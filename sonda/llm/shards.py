@@ -1,10 +1,11 @@
 """Best-fit-decreasing sharding of indivisible groups.
 
 Groups (documents of equal text) are sorted by size and enter the shard with the tightest remaining capacity,
-found in a balanced tree. Groups below ``1 / grain`` of a shard are first put together, by a hash of their
-text, into units of about that size, so the driver packs a number of units that depends on the number of
-shards and ``grain`` alone; larger groups, of which there can't be more than shards x grain, are packed as
-they are.
+found in a balanced tree. The driver packs the histogram of group sizes: groups of one size that enter the same
+shard one after another are one step, so its work is of distinct sizes, of which a corpus of B bytes has fewer
+than sqrt(2 B). The plan says how many groups of each size go to which shard; groups are numbered within their
+size, by prefix sums over hash buckets, and each number has its place in the plan. Texts are not shuffled: a row
+goes by its id, size and hash.
 
 Null texts count no bytes. Null ids, empty texts and repeated rows are rows like any other; equal rows stand
 next to each other. An empty table gives no rows. A group larger than a shard's capacity fills a shard alone.
@@ -13,12 +14,14 @@ Columns other than id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
-from .common import partitions
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-GRAIN = 512
+from .common import numbered, release, staged
 
 
 class Tree:
@@ -113,73 +116,97 @@ class Tree:
         return found, value
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size; ``sizes`` descend. A new bin opens when no open one has room."""
+def best_fit(sizes: Iterable[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, times, bin) steps of packing (size, count) pairs, whose sizes descend; None if more than ``most`` bins are needed.
+
+    Each item enters the bin with the tightest room; a new bin opens when no open one has room. As a bin that an item
+    has entered is still the tightest for the next item of that size while it has room, such items enter together.
+    """
     tree, bins, out = Tree(), 0, []
-    for s in sizes:
-        got = tree.take_at_least(s)
-        if got is None:
-            got, bins = (max(capacity, s), bins), bins + 1
-        out.append(got[1])
-        tree.add(got[0] - s, got[1])
+    for size, count in sizes:
+        while count:
+            got = tree.take_at_least(size)
+            if got is None:
+                if bins == most:
+                    return None
+                got, bins = (max(capacity, size), bins), bins + 1
+            times = min(count, got[0] // size)
+            out.append((size, times, got[1]))
+            count -= times
+            tree.add(got[0] - size * times, got[1])
     return out
 
 
-def smallest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The least capacity found by bisection at which best-fit-decreasing needs at most ``shards`` bins."""
-    low = max([-(-sum(sizes) // shards), 1])
-    high = low + max(sizes, default=0)
-    best = best_fit(sizes, high)
-    while max(best, default=0) >= shards:
-        high *= 2
-        best = best_fit(sizes, high)
+def smallest_capacity(sizes: list[tuple[int, int]], shards: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """The least capacity found at which best-fit-decreasing of (size, count) pairs needs at most ``shards`` bins: the
+    capacity grows in doubling steps from the mean, then the last step is bisected."""
+    if not sizes:
+        return 1, []
+    low = max(-(-sum(s * n for s, n in sizes) // shards), 1)
+    step, best = 0, best_fit(sizes, low, shards)
+    while best is None:
+        low, step = low + max(step, 1), 2 * step or 1
+        best = best_fit(sizes, low, shards)
+    high, low = low, low - step + 1 if step else low
     while low < high:
         mid = (low + high) // 2
-        got = best_fit(sizes, mid)
-        if max(got, default=0) < shards:
-            high, best = mid, got
-        else:
+        got = best_fit(sizes, mid, shards)
+        if got is None:
             low = mid + 1
+        else:
+            high, best = mid, got
     return high, best
 
 
-def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", grain: int = GRAIN) -> DataFrame:
-    """Each row's id and text with its size (UTF-8 bytes plus 8), shard (0 to shards - 1) and slot (gapless from 0 in its shard)."""
+def places(plan: list[tuple[int, int, int]]) -> dict[str, np.ndarray]:
+    """The plan by numbers within a size: from ``first`` on they are in ``bin``."""
+    done: dict[int, int] = {}
+    rows = []
+    for size, times, where in plan:
+        rows.append((size, done.get(size, 0), where))
+        done[size] = done.get(size, 0) + times
+    # plans descend by size and ascend by number
+    rows.sort()
+    return dict(zip(("size", "first", "bin"), np.array(rows, np.int64).reshape(-1, 3).T))
+
+
+def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Each row's id, size (UTF-8 bytes plus 8), text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in its shard).
+
+    ``with_text`` carries the text along too, for writing shards out.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     text = F.coalesce("text", F.lit(""))
-    rows = rows.withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("group", F.sha2(text, 256))
-    groups = rows.select("group", "size").groupBy("group").agg(F.sum("size").alias("size"))
-    total = rows.select("size").agg(F.sum("size")).first()[0] or 0
-    least = total / (shards * grain)
-    unit = F.when(F.col("size") >= least, F.col("group")).otherwise(F.concat(F.lit("u"), F.pmod(F.xxhash64("group"), F.lit(shards * grain))))
-    # at most shards x grain large groups and as many units of small ones
-    units = groups.groupBy(unit.alias("unit")).agg(F.sum("size").alias("size")).collect()
-    units.sort(key=lambda u: (-u["size"], u["unit"]))
-    _, bins = smallest_capacity([u["size"] for u in units], shards)
-    large = [(u["unit"], b) for u, b in zip(units, bins) if u["unit"][0] != "u"]
-    small = {int(u["unit"][1:]): b for u, b in zip(units, bins) if u["unit"][0] == "u"}
-    where = F.broadcast(spark.createDataFrame(large, "group string, large int"))
-    by_unit = F.lit([small.get(i, 0) for i in range(shards * grain)])
-    of_unit = F.element_at(by_unit, (F.pmod(F.xxhash64("group"), F.lit(shards * grain)) + 1).cast("int"))
-    dealt = rows.join(where, "group", "left").withColumn("shard", F.coalesce("large", of_unit).cast("int"))
-    return numbered(dealt.select("id", "text", "size", "shard"))
-
-
-def numbered(dealt: DataFrame) -> DataFrame:
-    """``slot``: gapless from 0 within each shard, without ever sorting a shard in one task.
-
-    Rows are ranked within (shard, bucket of their id and text); the buckets' sizes are summed up before.
-    """
-    buckets = 4 * partitions(dealt.sparkSession)
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    base = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("base"))
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text")) - 1
-    ranked = dealt.withColumn("place", place)
-    return ranked.join(F.broadcast(base), ["shard", "bucket"]).select("id", "text", "size", "shard", (F.col("base") + F.col("place")).alias("slot"))
+    facts = [(F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group")]
+    rows = rows.select("id", *["text"] * with_text, *facts)
+    groups = staged(rows.groupBy("group").agg(F.sum("size").alias("size")), "groups")
+    counts = [(r["size"], r["count"]) for r in groups.groupBy("size").count().collect()]  # one row for each size
+    counts.sort(reverse=True)
+    _, plan = smallest_capacity(counts, shards)
+    table = spark.sparkContext.broadcast(places(plan))
+
+    def run(batches):
+        t = table.value
+        for batch in batches:
+            size, n = batch.column("size").to_numpy(), batch.column("number").to_numpy()
+            # of each row the last step of its size that begins at or before its number
+            low, high = np.searchsorted(t["size"], size, "left"), np.searchsorted(t["size"], size, "right")
+            while (high - low > 1).any():
+                mid = (low + high) // 2
+                right = (high - low > 1) & (t["first"][mid] <= n)
+                low, high = np.where(right, mid, low), np.where(right | (high - low <= 1), high, mid)
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(t["bin"][low].astype(np.int32))], ["group", "shard"])
+
+    # a table of its own, so that the join can part the rows of one large group over several tasks
+    where = staged(numbered(groups, "size", ["group"], F.xxhash64("group")).mapInArrow(run, "group binary, shard int"), "shards")
+    # rows may be equal in all they have, so each gets a number before they are spread over buckets
+    dealt = staged(rows.join(where, "group").withColumn("row", F.monotonically_increasing_id()), "dealt")
+    release(groups, where)
+    dealt = numbered(dealt, "shard", ["id", "group", "row"], F.xxhash64("id", "row"))
+    return dealt.select("id", *["text"] * with_text, "size", "text_crc32", "shard", F.col("number").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The shards as Parquet folders ``shard=0`` and so on, each row with its slot."""
-    assign(docs, shards, id_col, text_col).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col).write.partitionBy("shard").parquet(path)
+    assign(docs, shards, id_col, text_col, with_text=True).drop("text_crc32").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col).write.partitionBy("shard").parquet(path)
