@@ -1,6 +1,7 @@
 """Fingerprint tables, edited texts and near pairs on Spark; the walk itself is in ``edit``.
 
-Null texts are empty. Rows with a null id come last in the order of ids; equal ids are ordered by their texts.
+Null texts are empty. Ids may be numbers or strings. Rows with a null id come last in the order of ids; equal ids are
+ordered by a hash of their texts.
 Repeated rows are rows like any other. Columns other than id and text are ignored. Empty tables give no rows.
 """
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, id_text, partitions, slices, sorted_groups, staged
 from .components import components
@@ -40,15 +42,26 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _passed(bounds: list[float], x):
+def _bounds(ids: DataFrame, count: int) -> list:
+    """About ``count`` - 1 ids, descending, that part the rows evenly: quantiles of numbers; of other ids, quantiles of a
+    sample of ``8 * count`` distinct ones, those of the least hashes."""
+    if isinstance(ids.schema["id"].dataType, T.NumericType):
+        found = ids.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count)
+    else:
+        some = sorted(r["id"] for r in ids.where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(8 * count).collect())
+        found = some[8::8]
+    return sorted(set(found), reverse=True)
+
+
+def _passed(bounds: list, x):
     """How many of the descending ``bounds`` are at least ``x``, found in two steps of about the root of their number."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     whole = F.size(F.filter(F.lit([p[-1] for p in parts]), lambda b: b >= x))
-    found = whole * step + F.size(F.filter(F.element_at(F.lit([*parts, []]), whole + 1), lambda b: b >= x))
-    return F.least(found, F.lit(len(bounds)))  # the last part may be shorter
+    found = whole * step + F.coalesce(F.size(F.filter(F.get(F.array(*(F.lit(p) for p in parts)), whole), lambda b: b >= x)), F.lit(0))
+    return F.least(F.when(whole == len(parts), F.lit(len(bounds))).otherwise(found), F.lit(len(bounds)))  # the last part may be shorter
 
 
 def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,11 +73,12 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     count = 4 * partitions(spark)
-    bounds = sorted(set(rows.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count)), reverse=True)
+    bounds = _bounds(rows.select("id"), count)
     # runs count up as ids go down; null ids are in the last
     rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(_passed(bounds, F.col("id"))).cast("int"))
     # at most one row for each run
-    heads = rows.select("run", "id", F.xxhash64("text").alias("h"), F.struct(F.coalesce(-F.col("id"), F.lit(2**63 - 1)).alias("k"), F.xxhash64("text").alias("h")).alias("at")).groupBy("run").agg(F.min_by(F.struct("id", "h"), "at").alias("head")).orderBy("run").collect()
+    hashed = rows.select("run", "id", F.xxhash64("text").alias("h"))
+    heads = hashed.groupBy("run").agg(F.max_by(F.struct("id", "h"), F.struct(F.col("id").isNotNull(), "id", F.bitwise_not("h"))).alias("head")).orderBy("run").collect()
     if not heads:
         return rows.select("run", F.lit(False).alias("extra"), "id", "text").where("false")
     used = [r["run"] for r in heads]
@@ -107,7 +121,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 24, bits: int = 8, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", count: int = 12, bits: int = 8, block: int = BLOCK) -> DataFrame:
     """One row per row: id and class_id, the least id of its class of fingerprints with likeness ``similarity`` or more.
 
     Equal fingerprints are one node. All pairs of nodes that share a band are verified by likeness, and linked nodes
@@ -137,11 +151,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
             for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(f)]):
-                mat, n = padded(f[lo:hi])
+                group = padded(f[lo:hi])
                 left, right = np.flatnonzero(at[lo:hi] == i[lo]), np.flatnonzero(at[lo:hi] == j[lo])
                 for x in left.tolist():
                     to = right[right > x] if i[lo] == j[lo] else right
-                    hit = to[likenesses(mat[x], int(n[x]), mat[to], n[to]) >= similarity]
+                    hit = to[likenesses(x, to, group) >= similarity]
                     a += [f[lo + x]] * len(hit)
                     b += [f[lo + y] for y in hit.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
