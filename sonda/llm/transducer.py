@@ -8,8 +8,10 @@ change of the token count, so a text's count is the sum of its annotations. Stat
 first needed and kept, in a table of states x bytes that is begun anew when it is full.
 
 Chunks. A batch of texts is cut into chunks of equal length that are read side by side. A chunk's state map is
-constant from its first pre-token start on; what lies before that start depends on the state it is entered with,
-which a prefix scan over the chunks' maps supplies. A chunk without a start maps states through itself.
+constant from its first pre-token start on; what lies before that start depends on the state it is entered with.
+The map of a head, or of a chunk without a start, is held for the states that it may be entered with: first for the
+one in which a chunk ends that is entered as if a pre-token began there. A scan composes the maps from each known
+state on; entries that the scan meets and a map lacks are read, side by side again, until none is missing.
 
 Pre-token starts are a local property of the character classes, so they are found for all bytes at once.
 """
@@ -25,6 +27,8 @@ import regex
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTER, NUMBER, SPACE, BLANK, MARK, OTHER = range(6)
 DEAD, START, CHUNK, MOST_STATES = 0, 1, 256, 200_000
+#: So few heads are read faster one after another than side by side.
+FEW = 64
 
 
 def byte_of_stand_in() -> dict[str, int]:
@@ -75,6 +79,8 @@ class Transducer:
     def _reset(self) -> None:
         self.states: list[tuple] = [(), ((None, 0, 0),)]
         self.number = {s: i for i, s in enumerate(self.states)}
+        #: Transitions read one by one.
+        self.flat: dict[int, int] = {}
         #: Columns are given to bytes as they first occur.
         self.column, self.used = np.full(256, -1, np.int16), []
         self.table = np.full((1024, 64), -1, np.int32)
@@ -209,26 +215,68 @@ class Transducer:
         flags = np.concatenate([fresh, np.ones(pad, bool)]).reshape(lanes, CHUNK)
         state = np.full(lanes, DEAD, np.int64)
         out = np.ascontiguousarray(self._read(np.ascontiguousarray(symbols.T), np.ascontiguousarray(flags.T), state).T)
-        # the scan: a chunk with a start has a constant map; the others pass on what they are entered with
         head = np.where(flags.any(1), flags.argmax(1), CHUNK)
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            known = state[todo - 1] != DEAD
-            self._heads(todo[known], head[todo[known]], symbols, state, out)
-            todo = todo[~known]
+        self._scan(head, symbols, state, out)
         return out.reshape(-1)[:n]
 
-    def _heads(self, at: np.ndarray, head: np.ndarray, symbols: np.ndarray, state: np.ndarray, out: np.ndarray) -> None:
-        """Read the first ``head`` bytes of the chunks ``at`` from the states that the chunks before them end in."""
-        order = np.argsort(-head, kind="stable")
-        at, head = at[order], head[order]
-        now = state[at - 1].copy()
-        for k in range(int(head[0])):
-            live = int(np.searchsorted(-head, -k, "left"))
+    def _scan(self, head: np.ndarray, symbols: np.ndarray, state: np.ndarray, out: np.ndarray) -> None:
+        """Compose the chunks' maps, and give the bytes before their first starts the changes of the states they are entered with."""
+        todo = np.flatnonzero(head > 0)
+        if not len(todo):
+            return
+        # maps by (chunk, entry): the exit and the changes of the head
+        maps: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        guess = {int(i): START for i in todo[head[todo] == CHUNK]}
+        self._heads(list(guess.items()), head, symbols, maps)
+        guess = {i: maps[i, START][0] for i in guess}
+        while True:
+            missing, entry = [], {}
+            for i in todo.tolist():
+                before = i - 1
+                if head[before] < CHUNK:
+                    e = int(state[before])
+                else:  # what is known of the chunk before, else what it gives if entered as guessed
+                    e = maps[before, entry[before]][0] if (before, entry[before]) in maps else guess[before]
+                entry[i] = e
+                if (i, e) not in maps:
+                    missing.append((i, e))
+            if not missing:
+                break
+            self._heads(missing, head, symbols, maps)
+        for i, e in entry.items():
+            out[i, : head[i]] = maps[i, e][1]
+
+    def _heads(self, asked: list[tuple[int, int]], head: np.ndarray, symbols: np.ndarray, maps: dict) -> None:
+        """Add the maps of the (chunk, entry) pairs ``asked``."""
+        if len(asked) <= FEW:
+            for i, e in asked:
+                maps[i, e] = self._alone(symbols[i, : head[i]], e)
+            return
+        at, now = (np.array(x, np.int64) for x in zip(*asked))
+        order = np.argsort(-head[at], kind="stable")
+        names = [asked[i] for i in order.tolist()]
+        at, now = at[order], now[order]
+        lens = head[at]
+        changes = np.zeros((len(at), int(lens[0])), np.int8)
+        for k in range(int(lens[0])):
+            live = int(np.searchsorted(-lens, -k, "left"))
             part = now[:live]
-            out[at[:live], k] = self._read(symbols[at[:live], k][None], np.zeros((1, live), bool), part)[0]
-        through = head == CHUNK
-        state[at[through]] = now[through]
+            changes[:live, k] = self._read(symbols[at[:live], k][None], np.zeros((1, live), bool), part)[0]
+        for i, name in enumerate(names):
+            maps[name] = int(now[i]), changes[i, : lens[i]]
+
+    def _alone(self, symbols: np.ndarray, state: int) -> tuple[int, np.ndarray]:
+        """Exit and changes of one head, byte by byte."""
+        out = bytearray(len(symbols))
+        for k, b in enumerate(symbols.tobytes()):
+            got = self.flat.get(state << 8 | b, -1)
+            if got < 0:
+                if self.table[state, b] < 0:
+                    self._compile(state, b)
+                got = self.flat[state << 8 | b] = int(self.table[state, b])
+            out[k] = (got & 63) - 32 & 255
+            state = got >> 6
+        return state, np.frombuffer(out, np.int8)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text; ``data`` must not hold special strings."""
