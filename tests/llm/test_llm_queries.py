@@ -1,6 +1,8 @@
 """The queries over the smallest tables: against SQL, or against brute force."""
 
+import hashlib
 import os
+import random
 import zlib
 
 import duckdb
@@ -53,15 +55,89 @@ def test_token_queries(spark, texts):
     assert len({r["sequence_id"] for r in rows}) == -(-total // 2048)
 
 
-def test_secret_and_shard_queries(spark, texts):
-    got = {r["doc_id"]: r for r in queries.op8_secrets(spark, SF).collect()}
+def spans_by_hand(text):
+    """(start, kind, end) of the pattern matches, found character by character without regular expressions."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    letters = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    value = letters | set("+/_.=-")
+    out = []
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assigned(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            end = at + len(word)
+            end += text[end : end + 1] in ("'", '"')
+            end = run(end, " ")
+            if text[end : end + 1] not in (":", "="):
+                continue
+            end = run(end + 1, " ")
+            end += text[end : end + 1] in ("'", '"')
+            last = run(end, value)
+            if last > end:
+                return end, last
+        return None
+
+    at = 0
+    while at < len(text):
+        if low[at] in "pst" + "a" and (got := assigned(at)):
+            if got[1] - got[0] >= 8:
+                out.append((at, 0, got[1]))
+            at = got[1]
+        else:
+            at += 1
+    at = text.find("AKIA")
+    while at >= 0:
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if end - at >= 16:
+            out.append((at, 1, end))
+        at = text.find("AKIA", end if end > at + 4 else at + 1)
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 32:
+            out.append((at, 2, end))
+        at = max(end, at + 1)
+    return sorted(out)
+
+
+def test_patterns_by_hand():
+    rnd = random.Random(12)
+    parts = ["password", "ToKen", "api_key", "apikey", "secret", "=", ":", " ", "'", '"', "abcdefgh", "0123456789abcdef", "AKIA", "AKIA0123456789AB", "Zq", ".", "\n", "é", "f" * 20, "A" * 13]
+    for _ in range(20_000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9)))
+        assert secrets.base_spans(t) == spans_by_hand(t), t
+
+
+def test_secret_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    got = {r["doc_id"]: r for r in queries.op8_secrets(spark, sf).collect()}
+    found = 0
     for i, t in texts.items():
-        base = secrets.base_spans(t)
-        assert got[i]["base_sha256"] == secrets.digest(secrets.joined(base))
+        base = spans_by_hand(t)
+        found += len(base)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
         assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+    assert found > 10
+
+
+def test_shard_query(spark, texts):
     rows = queries.op9_sharding(spark, SF).collect()
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 8 for r in rows)
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+    shard, load, slots = {}, [0] * 24, [[] for _ in range(24)]
+    for r in rows:
+        assert shard.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots) and max(load) <= max(sum(load) / 24 * 1.02, max(r["size"] for r in rows))
 
 
 def test_pipeline(spark, con, texts):

@@ -1,11 +1,15 @@
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from samples import SF, prose
 from sonda.llm import quality, queries
 
+LARGER = "/root/testdata/sf0.01"
+
 
 def test_features_are_of_single_documents():
     texts = ["", "aa bb bb", "x", "bb aa"]
@@ -56,12 +60,27 @@ def test_query_learns_nothing_of_held_out_rows(spark):
     assert (a.folded == b.folded).all()
 
 
-def test_a_text_that_does_not_fit_is_skipped(spark):
-    from pyspark.sql import functions as F
+def test_no_text_is_too_long_for_the_sample(spark):
+    docs = spark.createDataFrame([(d, "x" * (3_000_000 if d == 1 else 10 + d)) for d in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(8)] * 2, "doc_id bigint, quality int")
+    held = {r["doc_id"] for r in docs.where(quality.held_out(docs["doc_id"])).collect()}
+    texts, y = quality.sample(docs, labels)
+    assert sorted(map(len, texts.to_pylist())) == sorted(3_000_000 if d == 1 else 10 + d for d in range(8) if d not in held)
+    assert sorted(y.tolist()) == sorted(d % 2 for d in range(8) if d not in held)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_held_out_quality_of_the_query(spark):
+    """On the labelled rows of the tables that were not learned from."""
+    got = queries.op4_quality(spark, LARGER).where("held_out").join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("quality is not null").toPandas()
+    good, bad = (got[got["quality"] == k]["score"].to_numpy() for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    auc = (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2
+    assert auc > 0.97 and (got["predicted"] == got["quality"]).mean() > 0.93
+
 
-    ids = spark.range(40).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64(F.col("id").cast("string"))).limit(6)
-    ids = [r["id"] for r in ids.collect()]
-    docs = spark.createDataFrame([(d, "x" * (500 if k in (0, 3) else 10 + k)) for k, d in enumerate(ids)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id bigint, quality int")
-    texts, y = quality.sample(docs, labels, most_bytes=100)
-    assert [len(t) for t in texts.to_pylist()] == [11, 12, 14, 15] and y.tolist() == [1, 0, 0, 1]
+def test_characters_not_bytes():
+    """An n-gram of a script of three bytes a character holds whole characters, and words are hashed as wholes."""
+    data = np.frombuffer("日本語".encode(), np.uint8)
+    sizes = [len(doc) for doc, _ in quality.features(data, np.array([0, len(data)]))]
+    assert sizes == [1, 3, 2, 1]

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -71,3 +72,16 @@ def test_files_round_trip(spark, edge, edge_rows, nothing, library, tmp_path):
     assert sum(os.path.getsize(tmp_path / "tokens" / f) for f in on_disk) == 2 * files.n_ids
     empty = token_files.write(nothing, tokenizer(WORD), 2, f"file://{tmp_path}/none")
     assert empty.n_docs == 0 and empty.read(spark).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["x", "=-", "abcab", "letters", "日本"])
+def test_long_runs_without_a_start(library, kind):
+    """Chunks without a pre-token start: the library's counts, and time in proportion to length."""
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(120_000)) if kind == "letters" else kind * (120_000 // len(kind))
+    t = Transducer(tokenizer(BYTE))
+    texts = ["some words before", text, text[:70_001], "and after"]
+    began = time.time()
+    got = token_counts.count_texts(t, pa.array(texts)).tolist()
+    assert time.time() - began < 6
+    assert got == [len(e.ids) for e in library[BYTE].encode_batch(texts, add_special_tokens=False)]
