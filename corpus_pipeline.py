@@ -24,7 +24,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of any item occurs go."""
+    """Documents go in which windows of two items occur (the rule of op10), or a full window of one."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), action="document")
 
 
