@@ -29,6 +29,28 @@ def fit_binary(df: DataFrame, vec: Column, q: Quantizer) -> float | list[float]
     return [r["threshold"] for r in mean_thresholds(df, vec).orderBy("dim").collect()]  # at most 4096 rows
 
 
+def words_distance(metric: str, code: Column, query: list[int]) -> Column:
+    """Hamming or jaccard distance between 64-bit words of ``code`` and of a query."""
+    def ones(f) -> Column:
+        total = F.lit(0)
+        for i, w in enumerate(query):
+            total = total + F.bit_count(f(code.getItem(i), F.lit(w).cast("long")))
+        return total.cast("double")
+
+    if metric == "hamming":
+        return ones(lambda a, b: a.bitwiseXOR(b))
+    any_ = ones(lambda a, b: a.bitwiseOR(b))
+    return F.when(any_ == 0, 0.0).otherwise(1 - ones(lambda a, b: a.bitwiseAND(b)) / any_)
+
+
+def packed_query(query, threshold) -> list[int]:
+    """The words of ``functions.distance.packed`` of a query vector."""
+    on = np.asarray(query, np.float64) > np.asarray(threshold, np.float64)
+    bits = np.zeros(-(-len(on) // 64) * 64, bool)
+    bits[: len(on)] = on
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and labels by Lloyd's rounds, begun at the first row and then always the farthest from those chosen.
 
@@ -91,7 +113,25 @@ class Product:
         out = F.lit(0.0)
         for i, row in enumerate(table):
             out = out + F.element_at(F.lit(row), codes.getItem(i) + 1)
-        return out
+        return F.when(codes.isNotNull(), out)
+
+
+    def symmetric(self, a: Column, b: Column) -> Column:
+        """Distance between two codes: of the centroids they stand for, from a table for each sub-vector."""
+        metric = "euclidean" if self.metric == "cosine" else self.metric
+        out = F.lit(0.0)
+        for i, book in enumerate(self.books):
+            table = F.lit(D.distances(metric, book, book).reshape(-1).tolist())
+            out = out + F.element_at(table, a.getItem(i) * len(book) + b.getItem(i) + 1)
+        return F.when(a.isNotNull() & b.isNotNull(), out)
+
+    def plain(self) -> list:
+        """As lists, to be stored; ``Product.of`` reads them."""
+        return [b.tolist() for b in self.books]
+
+    @staticmethod
+    def of(plain: list, metric: str) -> Product:
+        return Product([np.array(b, np.float64) for b in plain], metric)
 
 
 def fit_product(df: DataFrame, id_col: str, vec: Column, q: Quantizer, metric: str, rounds: int = 100, rows: int = FIT_ROWS) -> Product | None:

@@ -1,8 +1,8 @@
 """Full-text ranking by TF-IDF.
 
-Counts of documents are of the whole collection, whatever filter a query has. Terms of a query are few, so each
-document's term counts are higher-order functions over its tokens: one scan, one small aggregate for the document
-frequencies, no shuffle of postings. ``postings`` gives the inverted index itself where it is wanted.
+Counts of documents are of the whole collection, whatever filter a query has. A collection stores its postings, and
+``from_postings`` reads those of a query's terms. Over a plain frame (``scored``) a text is cut into terms only where it
+contains one of the query's terms as a string, which few do; one small aggregate gives the document frequencies.
 """
 
 from __future__ import annotations
@@ -28,10 +28,33 @@ def lengths(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(F.col(id_col), F.size(tokens(text)).alias("length")).where("length > 0")
 
 
+#: Whether a text has terms is mostly seen from so many characters of it; the whole is looked at where it isn't.
+HEAD = 256
+
+
 def _count(tokens_col: str, word: str) -> Column:
     return F.size(F.filter(tokens_col, lambda t: t == word))
 
 
+def _total(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
+def _fits(conditions: list[Column], every: bool) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c if every else out | c
+    return out
+
+
+def _score(n: int, length: str, documents: Column, frequency) -> Column:
+    """The sum over terms ``tf0`` and so on: tf / length * log10(N / (df + 1))."""
+    return _total([F.when(F.col(f"tf{i}") > 0, F.col(f"tf{i}") / F.col(length) * F.log10(documents / (frequency(i) + 1))).otherwise(0.0) for i in range(n)])
+
+
 def scored(df: DataFrame, id_col: str, text: Column, query: str, every: bool, within: Column | None = None, restrict: DataFrame | None = None) -> DataFrame:
     """(id, score) of documents with all or any of the query's terms.
 
@@ -39,24 +62,33 @@ def scored(df: DataFrame, id_col: str, text: Column, query: str, every: bool, wi
     ``restrict`` narrow the result, not the counts.
     """
     wanted = terms(query)
-    base = df.withColumn("__tokens", tokens(text))
+    base = df.withColumn("__text", text).where("__text is not null")
     if not wanted:
         return base.where("false").select(id_col, F.lit(0.0).alias("score"))
-    counted = base.where(F.size("__tokens") > 0)
-    tf = [_count("__tokens", w) for w in wanted]
-    stats = counted.agg(F.count("*").alias("n"), *(F.sum(F.array_contains("__tokens", w).cast("long")).alias(f"df{i}") for i, w in enumerate(wanted)))
-    kept = counted if within is None else counted.where(within)
+    has = [F.contains(F.lower("__text"), F.lit(w)) for w in wanted]
+    # the first of two terms of the head is whole
+    counted = F.when(F.size(tokens(F.substring("__text", 1, HEAD))) > 1, True).otherwise(F.size(tokens(F.col("__text"))) > 0)
+    found = [F.when(h, F.array_contains(tokens(F.col("__text")), w)).otherwise(False) for h, w in zip(has, wanted)]
+    stats = base.agg(F.sum(counted.cast("long")).alias("n"), *(F.sum(f.cast("long")).alias(f"df{i}") for i, f in enumerate(found)))
+    kept = base if within is None else base.where(within)
     if restrict is not None:
         kept = kept.join(restrict, id_col, "left_semi")
-    kept = kept.select(id_col, *(c.alias(f"tf{i}") for i, c in enumerate(tf)), F.size("__tokens").alias("length"))
-    has = [F.col(f"tf{i}") > 0 for i in range(len(wanted))]
-    keep = has[0]
-    for h in has[1:]:
-        keep = keep & h if every else keep | h
-    counts = stats.select(F.struct("*").alias("s")).scalar()  # one row, as a scalar subquery
-    kept = kept.where(keep).withColumn("c", counts)
-    parts = [F.when(has[i], F.col(f"tf{i}") / F.col("length") * F.log10(F.col("c.n") / (F.col(f"c.df{i}") + 1))).otherwise(0.0) for i in range(len(wanted))]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return kept.select(id_col, score.alias("score"))
+    kept = kept.where(_fits(has, every)).withColumn("__tokens", tokens(F.col("__text")))
+    tf = [_count("__tokens", w).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    kept = kept.select(id_col, *tf, F.size("__tokens").alias("length")).where(_fits([F.col(f"tf{i}") > 0 for i in range(len(wanted))], every))
+    kept = kept.withColumn("c", stats.select(F.struct("*").alias("s")).scalar())  # one row, as a scalar subquery
+    return kept.select(id_col, _score(len(wanted), "length", F.col("c.n"), lambda i: F.col(f"c.df{i}")).alias("score"))
+
+
+def from_postings(stored: DataFrame, id_col: str, documents: DataFrame, query: str, every: bool, restrict: DataFrame | None = None) -> DataFrame:
+    """``scored`` by stored postings (id, term, tf, length); ``documents`` has one row and column, N."""
+    wanted = terms(query)
+    rows = stored.where(F.col("term").isin(wanted))
+    if not wanted:
+        return rows.select(id_col, F.lit(0.0).alias("score"))
+    counts = rows.agg(*(F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for i, w in enumerate(wanted)))
+    kept = rows if restrict is None else rows.join(restrict, id_col, "left_semi")
+    kept = kept.groupBy(id_col).agg(*(F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(wanted)), F.max("length").alias("length"))
+    kept = kept.where(_fits([F.col(f"tf{i}") > 0 for i in range(len(wanted))], every))
+    kept = kept.withColumn("n", documents.scalar()).withColumn("c", counts.select(F.struct("*").alias("s")).scalar())
+    return kept.select(id_col, _score(len(wanted), "length", F.col("n"), lambda i: F.col(f"c.df{i}")).alias("score"))

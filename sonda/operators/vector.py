@@ -37,16 +37,37 @@ def nearest(df: DataFrame, id_col: str, dist: Column, k: int) -> DataFrame:
     return rows.orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int, metric: str = "euclidean", block: int = 1024, most_bytes: int = 64 << 20) -> DataFrame:
+#: Numbers in the table of distances that a task holds at a time, whatever the number of queries.
+CELLS = 4 << 20
+
+
+def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least of each row of ``d``, in order; ties go to the lower of ``ids``."""
+    if d.shape[1] > k:
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(d, part, 1).max(1)
+        tied = np.flatnonzero((d <= last[:, None]).sum(1) > k)
+        for r in tied.tolist():
+            at = np.flatnonzero(d[r] <= last[r])
+            part[r] = at[np.lexsort((ids[r, at], d[r, at]))[:k]]
+    else:
+        part = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    order = np.lexsort((np.take_along_axis(ids, part, 1), np.take_along_axis(d, part, 1)), axis=1)
+    return np.take_along_axis(part, order, 1)
+
+
+def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int, metric: str = "euclidean", block: int = 1024, most_bytes: int = 16 << 20, probed: tuple[str, np.ndarray] | None = None) -> DataFrame:
     """(query id, id, distance, rank) of the k nearest of every query vector, over one scan of ``df``.
 
     The queries are counted, then sent to all tasks; each task multiplies blocks of its vectors with all of them and
     keeps k rows for each query, and a window over those picks the k best. Queries of more than ``most_bytes`` in all
-    are taken in blocks, each with its own scan.
+    are taken in blocks, each with its own scan; a block of rows is so small that its distances have ``CELLS`` numbers.
+
+    ``probed``: the column of list numbers, and of each query, in the order of ids, the lists it looks at.
     """
     spark = df.sparkSession
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(query_vec) * 8), F.lit(0))).first()
-    if size > most_bytes and n > 1:
+    if size > most_bytes and n > 1 and probed is None:
         parts = min(n, -(-size // most_bytes))
         split = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == p) for p in range(parts)]
         out = [nearest_batch(df, id_col, vec_col, p, query_id, query_vec, k, metric, block, size) for p in split]
@@ -54,35 +75,43 @@ def nearest_batch(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
         for o in out[1:]:
             whole = whole.unionByName(o)
         return whole
-    got = queries.select(query_id, query_vec).toPandas()
+    got = queries.select(query_id, query_vec).orderBy(query_id).toPandas()
     ids, q = got[query_id].tolist(), np.stack(got[query_vec].to_numpy()).astype(np.float64) if n else np.zeros((0, 0))
-    shared = spark.sparkContext.broadcast((ids, q))
+    looks = None
+    if probed is not None:
+        looks = np.zeros((len(ids), int(probed[1].max(initial=0)) + 1), bool)
+        np.put_along_axis(looks, probed[1], True, 1)
+    shared = spark.sparkContext.broadcast((ids, q, looks))
     id_type, q_type = df.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-
     kinds = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(df.schema[id_col].dataType), pa.float64()]
+    numbers = pa.types.is_integer(kinds[1])
+    columns = [id_col, vec_col, *([probed[0]] if probed else [])]
 
     def run(batches):
-        names, qs = shared.value
+        names, qs, lists = shared.value
         best_d = np.full((len(names), 0), np.inf)
-        best_i = np.empty((len(names), 0), object)
+        best_i = np.empty((len(names), 0), np.int64 if numbers else object)
+        step = max(1, min(block, CELLS // max(1, len(names))))
         for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 part = part.filter(part.column(vec_col).is_valid())
                 if not part.num_rows or not len(names):
                     continue
-                vec = part.column(vec_col)
-                x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                row_ids = np.array(part.column(id_col).to_pylist(), object)
-                order = np.argsort(row_ids, kind="stable")
-                d = np.concatenate([best_d, D.distances(metric, x[order], qs).T], 1)
-                i = np.concatenate([best_i, np.broadcast_to(row_ids[order], (len(names), len(order)))], 1)
-                top = np.lexsort((i, d), axis=1)[:, :k] if d.shape[1] > k else np.argsort(d, axis=1, kind="stable")
+                x = part.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                row_ids = part.column(id_col).to_numpy() if numbers else np.array(part.column(id_col).to_pylist(), object)
+                d = D.distances(metric, x, qs).T
+                if lists is not None:
+                    at = part.column(probed[0]).to_numpy()
+                    d = np.where(lists[:, np.minimum(at, lists.shape[1] - 1)] & (at < lists.shape[1]), d, np.inf)
+                d = np.concatenate([best_d, d], 1)
+                i = np.concatenate([best_i, np.broadcast_to(row_ids, (len(names), len(row_ids)))], 1)
+                top = _best(d, i, k)
                 best_d, best_i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-        rows = [(names[a], best_i[a, b], best_d[a, b]) for a in range(best_d.shape[0]) for b in range(best_d.shape[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["query", "neighbour", "distance"])
+        who, place = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in who.tolist()], kinds[0]), pa.array(best_i[who, place].tolist(), kinds[1]), pa.array(best_d[who, place])], ["query", "neighbour", "distance"])
 
-    found = df.select(id_col, vec_col).mapInArrow(run, f"query {q_type}, neighbour {id_type}, distance double")
+    found = df.select(*columns).mapInArrow(run, f"query {q_type}, neighbour {id_type}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("neighbour").alias(id_col), "distance", "rank")
 

@@ -44,6 +44,18 @@ class Source:
             now = now[key].dataType
         return now
 
+    def distance(self, path: str, query) -> Column:
+        """The distance of an indexed vector property to a query."""
+        return vector_ops.measured(self.df, self.id, self.of(path), self.schema[path], query)
+
+    def probed(self, path: str, query) -> Column | None:
+        """The rows that an approximate index looks at; None for all."""
+        return None
+
+    def text_scores(self, path: str, query: str, every: bool, within: Column | None, restrict: DataFrame | None) -> DataFrame:
+        """(id, score) of the documents that match a text query."""
+        return text_ops.scored(self.df, self.id, self.of(path), query, every, within, restrict)
+
     def payload(self, select: tuple[str, ...]) -> tuple[list[Column], set[str] | None]:
         """Payload columns of a select list, nested paths nested again; the paths it covers, None for all."""
         names = [f for f in self.df.columns if f != self.id]
@@ -114,12 +126,11 @@ class Compiler:
             return (F.lower(ids) if isinstance(kind, T.StringType) else ids).isin([v.lower() for v in values])
         index = self.s.schema[q.property]
         o = q.option(index.kind)
-        column = self.s.of(q.property)
         if index.kind in VECTOR_TYPES:
-            return self.near(column, index, o)
+            return self.near(q.property, o)
         if index.kind == "text":
-            return self.text(column, o)
-        return predicate(column, index, o)
+            return self.text(q.property, o)
+        return predicate(self.s.of(q.property), index, o)
 
     def filtered(self, node: Node | None) -> tuple[Column | None, DataFrame | None]:
         """A pre-filter as a condition or as the ids of hits, whose scores play no part."""
@@ -127,9 +138,11 @@ class Compiler:
             return node, None
         return None, node.small(node.df.select(self.s.id))
 
-    def near(self, column: Column, index, o) -> Hits:
+    def near(self, path: str, o) -> Hits:
         df = self.s.df
-        dist = vector_ops.measured(df, self.s.id, column, index, o.value)
+        dist = self.s.distance(path, o.value)
+        probed = self.s.probed(path, o.value)
+        df = df if probed is None else df.where(probed)
         cond, ids = self.filtered(self.node(o.filter) if o.filter else None)
         df = df if cond is None else df.where(cond)
         df = df if ids is None else df.join(ids, self.s.id, "left_semi")
@@ -137,9 +150,9 @@ class Compiler:
         none = F.lit(None).cast("double")
         return Hits(top.select(self.s.id, F.lit(True).alias("ranked"), "distance", none.alias("score"), (F.col("distance") * -o.weight).alias("hybrid"), F.col("distance").alias("key")), o.limit)
 
-    def text(self, column: Column, o) -> Hits:
+    def text(self, path: str, o) -> Hits:
         cond, ids = self.filtered(self.node(o.filter) if o.filter else None)
-        got = text_ops.scored(self.s.df, self.s.id, column, o.value, o.operator == "containsAll", cond, ids)
+        got = self.s.text_scores(path, o.value, o.operator == "containsAll", cond, ids)
         top = got.orderBy(F.desc("score"), self.s.id).limit(o.limit)
         none = F.lit(None).cast("double")
         return Hits(top.select(self.s.id, F.lit(True).alias("ranked"), none.alias("distance"), "score", (F.col("score") * o.weight).alias("hybrid"), (-F.col("score")).alias("key")), o.limit)

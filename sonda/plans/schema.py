@@ -70,6 +70,9 @@ class Index:
     search_size: int = 0
     degree_bound: int = 0
     alpha: float = 0.0
+    #: Lists of an approximate index and how many a search looks at; 0: graph-indexed properties are searched exactly.
+    lists: int = 0
+    probes: int = 0
     case_sensitive: bool = False
 
     @staticmethod
@@ -98,7 +101,12 @@ class Index:
         need(25 <= p.get("searchSize", 0) <= 75, "searchSize must be from 25 to 75")
         need(32 <= p.get("degreeBound", 0) <= 64, "degreeBound must be from 32 to 64")
         need(1.1 <= p.get("alpha", 0) <= 1.5, "alpha must be from 1.1 to 1.5")
-        return Index(kind, int(size), metric, q, p["searchSize"], p["degreeBound"], p["alpha"])
+        lists = p.get("lists", 0)
+        need(lists == 0 or 2 <= lists <= 65_536, "lists must be from 2 to 65536")
+        need(lists == 0 or metric in ("euclidean", "cosine", "dot"), "lists are for euclidean, cosine or dot")
+        probes = p.get("probes", -(-3 * lists // 4))
+        need(lists == 0 or 1 <= probes <= lists, "probes must be from 1 to lists")
+        return Index(kind, int(size), metric, q, p["searchSize"], p["degreeBound"], p["alpha"], lists, probes)
 
     def checked(self, path: str, value: Any) -> Any:
         """``value`` as it is indexed; raises where a point can't hold it."""

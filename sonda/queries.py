@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import distance as D
-from .functions.analysis import STOP_WORDS, tokens
+from .functions.analysis import PATTERN, STOP_WORDS, tokens
 from .operators import ivf, mutate, quantize, text, vector
 from .plans.compiler import Source, matching, search
 from .plans.schema import Quantizer, parse_schema
@@ -269,18 +269,37 @@ def knn_batch(spark, sf_dir):
     return got.select("query_id", "vec_id", rounded("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def lists_of(spark, sf_dir) -> tuple[ivf.Lists, DataFrame]:
+    """All embeddings in 16 lists, and those of numbers divisible by 50 as queries."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ivf.build(e, "vec_id", "embedding", 16), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 @query()
 def knn_ivf(spark, sf_dir):
-    """Approximate neighbours of number 0 from 6 of 16 lists."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = ivf.build(e, "vec_id", "embedding", 16)
-    return index.search(embedding(spark, sf_dir, 0), 10, 6).select("vec_id", rounded("distance"))
+    """Approximate neighbours of a stated set of queries, each from 12 of 16 lists (these vectors hardly cluster)."""
+    index, queries = lists_of(spark, sf_dir)
+    return index.search_batch(queries, "query_id", "q", 10, 12).select("query_id", "vec_id", rounded("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def knn_ivf_recall(spark, sf_dir):
+    """Whether the lists give nine tenths of the true neighbours of those queries."""
+    index, queries = lists_of(spark, sf_dir)
+    true = vector.nearest_batch(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", queries, "query_id", "q", 10)
+    found = index.search_batch(queries, "query_id", "q", 10, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    got = true.join(found, ["query_id", "vec_id"], "left")
+    return got.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 # full text
 
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-TOKENS_SQL = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({STOP_SQL}, w))"
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+STOP_SQL = "[" + ", ".join(map(quoted, STOP_WORDS)) + "]"
+TOKENS_SQL = f"list_filter(regexp_extract_all(lower(text), {quoted(PATTERN)}), lambda w: NOT list_contains({STOP_SQL}, w))"
 SCORES = f"""tok AS (SELECT doc_id, lang, {TOKENS_SQL} AS ts FROM documents),
 n AS (SELECT count(*) AS n FROM tok WHERE len(ts) > 0),
 """
@@ -524,11 +543,11 @@ def _missing() -> None:
 _missing()
 
 
-@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS r, n_chars, lang FROM documents WHERE doc_id < 300)
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS r, n_chars, lang FROM documents)
 SELECT doc_id, row_number() OVER (ORDER BY r NULLS LAST, CASE WHEN r = 2 THEN n_chars END NULLS LAST, CASE WHEN r = 5 THEN lang END NULLS LAST, doc_id) AS _rank FROM d QUALIFY _rank <= 100""")
 def sort_mixed(spark, sf_dir):
     """A field that holds strings, numbers, booleans or nothing sorts by kind first."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 300")
+    d = table(spark, sf_dir, "documents")
     r = F.col("doc_id") % 4
     value = F.when(r == 0, F.to_json(F.struct(F.col("lang").alias("x")))).when(r == 1, F.to_json(F.struct(F.col("n_chars").alias("x")))).when(r == 2, F.lit('{"x":true}')).otherwise(F.lit("{}"))
     df = d.select(F.col("doc_id").alias("_id"), value.alias("_doc"), F.col("n_chars").alias("p:n"))
@@ -604,12 +623,35 @@ def pq_encode(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(codes, lambda c: c.cast("string")), "-").alias("code"))
 
 
-@query()
+def sql_kmeans(parts: int, k: int, rounds: int, rows: int = quantize.FIT_ROWS) -> str:
+    """CTEs that end in ``m`` (p, j, c): centroids of each sub-vector, begun at the farthest rows, after Lloyd's rounds."""
+    width = 64 // parts
+    part = f"list_transform(range(0, {parts}), lambda p: v[p * {width} + 1 : p * {width} + {width}])"
+    out = [f"t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT {rows})", f"x AS MATERIALIZED (SELECT vec_id, unnest(range(0, {parts})) AS p, unnest({part}) AS s FROM t)", "c0 AS MATERIALIZED (SELECT p, arg_min(s, vec_id) AS c FROM x GROUP BY p)", "f0 AS MATERIALIZED (SELECT vec_id, x.p, s, pow(list_distance(s, c), 2) AS d FROM x JOIN c0 USING (p))"]
+    for i in range(1, k):
+        out += [f"c{i} AS MATERIALIZED (SELECT p, arg_max(s, (d, -vec_id)) AS c FROM f{i - 1} GROUP BY p)", f"f{i} AS MATERIALIZED (SELECT vec_id, f.p, s, least(d, pow(list_distance(s, c), 2)) AS d FROM f{i - 1} f JOIN c{i} USING (p))"]
+    out.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT p, {i} AS j, c FROM c{i}" for i in range(k)) + ")")
+    for r in range(rounds):
+        out += [f"l{r} AS MATERIALIZED (SELECT vec_id, p, any_value(s) AS s, arg_min(j, (pow(list_distance(s, c), 2), j)) AS j FROM x JOIN m{r} USING (p) GROUP BY vec_id, p)", f"a{r} AS (SELECT p, j, list(a ORDER BY i) AS c FROM (SELECT p, j, i, avg(e) AS a FROM (SELECT p, j, unnest(s) AS e, generate_subscripts(s, 1) AS i FROM l{r}) GROUP BY p, j, i) GROUP BY p, j)", f"m{r + 1} AS MATERIALIZED (SELECT m{r}.p, m{r}.j, coalesce(a{r}.c, m{r}.c) AS c FROM m{r} LEFT JOIN a{r} USING (p, j))"]
+    return ", ".join([*out, f"m AS (SELECT * FROM m{rounds})"])
+
+
+@query(f"WITH {sql_kmeans(8, 16, 3)} SELECT CAST(p AS INTEGER) AS part, CAST(j AS INTEGER) AS centroid, CAST(i - 1 AS INTEGER) AS dim, round(e, 6) + 0.0 AS value FROM (SELECT p, j, unnest(c) AS e, generate_subscripts(c, 1) AS i FROM m)")
 def pq_fit(spark, sf_dir):
-    """Codebooks by k-means over the first vectors: (part, centroid, values)."""
-    book = quantize.fit_product(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), Quantizer("product", None, 100, None, 16, 8), "euclidean", 25)
-    rows = [(i, j, [float(v) for v in c]) for i, b in enumerate(book.books) for j, c in enumerate(b)]
-    return spark.createDataFrame(rows, "part int, centroid int, vector array<double>")
+    """Codebooks by three rounds of k-means over the first vectors."""
+    book = quantize.fit_product(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), Quantizer("product", None, 100, None, 16, 8), "euclidean", 3)
+    rows = [(i, j, d, float(v)) for i, b in enumerate(book.books) for j, c in enumerate(b) for d, v in enumerate(c)]
+    return spark.createDataFrame(rows, "part int, centroid int, dim int, value double").select("part", "centroid", "dim", rounded("value"))
+
+
+@query(f"""WITH {PQ}, q AS (SELECT p, code FROM n WHERE vec_id = 7), d AS (SELECT n.vec_id, sum(pow(list_distance(a.c, b.c), 2)) AS d FROM n JOIN b a ON a.p = n.p AND a.j = n.code JOIN q ON q.p = n.p JOIN b ON b.p = q.p AND b.j = q.code GROUP BY n.vec_id)
+SELECT vec_id, round(d, 6) + 0.0 AS distance FROM d ORDER BY d, vec_id LIMIT 10""")
+def knn_pq_symmetric(spark, sf_dir):
+    """Distances between codes, of a stored point to all others."""
+    book = codebook(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", book.encode(F.col("embedding")).alias("code"))
+    q = e.where("vec_id = 7").first()["code"]
+    return vector.nearest(e, "vec_id", book.symmetric(F.col("code"), F.array(*map(F.lit, q))), 10).select("vec_id", rounded("distance"))
 
 
 def _pq() -> None:
@@ -629,11 +671,11 @@ SELECT vec_id, round(d, 6) + 0.0 AS distance FROM d ORDER BY d, vec_id LIMIT 10"
 _pq()
 
 
-@query()
+@query(f"WITH {sql_kmeans(1, 10, 4)} SELECT vec_id, CAST(arg_min(j, (pow(list_distance(CAST(embedding AS DOUBLE[]), c), 2), j)) AS INTEGER) AS cluster FROM embeddings, m GROUP BY vec_id")
 def kmeans_labels(spark, sf_dir):
-    """The cluster of every vector, by centroids fitted on the first vectors and a scan of all."""
+    """The cluster of every vector, by centroids of four rounds on the first vectors and a scan of all."""
     e = table(spark, sf_dir, "embeddings")
-    book = quantize.fit_product(e, "vec_id", F.col("embedding"), Quantizer("product", None, 1, None, 10, 1), "euclidean", 25)
+    book = quantize.fit_product(e, "vec_id", F.col("embedding"), Quantizer("product", None, 1, None, 10, 1), "euclidean", 4)
     return e.select("vec_id", book.encode(F.col("embedding")).getItem(0).alias("cluster"))
 
 

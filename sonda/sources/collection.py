@@ -1,9 +1,14 @@
 """Collections of schemaless documents in a folder that Spark can write to.
 
-A collection is a manifest and the immutable Parquet parts it names. A row has the document as JSON and one typed
-column for each indexed path. Inserts add a part; deletes add tombstones; an update is a tombstone and a part. The
-manifest is replaced in one move, so a reader sees a mutation wholly or not at all; parts of a failed one are never
-named. ``compact`` writes the live rows anew. One writer at a time.
+A collection is a manifest and the immutable Parquet parts it names. A row has the document as JSON, one typed
+column for each indexed path, and what the indexes derive from them when the part is written: codes of quantized
+vectors, list numbers of approximate indexes, and the number of terms of texts, whose postings are a table beside the
+part, sorted by term. Quantizers and lists are fitted once, when the collection first has enough points, and kept;
+the parts that were there already are then written anew, and later points don't move them.
+
+Inserts add a part; deletes add tombstones; an update is a tombstone and a part. The manifest is replaced in one move,
+so a reader sees a mutation wholly or not at all; parts of a failed one are never named. ``compact`` writes the live
+rows anew, by itself when there are ``Plan.max_parts``. One writer at a time.
 """
 
 from __future__ import annotations
@@ -20,13 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AlreadyExists, NotFound, QuotaReached, ValidationError
+from ..functions import distance as D
+from ..functions.analysis import tokens
+from ..operators import ivf, quantize
+from ..operators import text as text_ops
 from ..plans import compiler
 from ..plans.request import Request
-from ..plans.schema import SPARK_TYPES, UUID, Schema, checked_point, need, parse_schema
+from ..plans.schema import SPARK_TYPES, UUID, Index, Schema, checked_point, need, parse_schema
 from . import files
 
 REMOVE = "_delete"
 BROADCAST_TOMBSTONES = 100_000
+#: Lists are fitted when a collection has so many points for each.
+LISTS_TRIGGER = 16
 
 
 @dataclass(frozen=True)
@@ -36,24 +47,82 @@ class Plan:
     max_collections: int = 10
     max_points: int = 1_000_000_000
     max_point_size: int = 1 << 20
+    max_parts: int = 64
 
 
-def column_name(path: str) -> str:
-    return "p:" + path.replace(".", ":")
+def column_name(path: str, mark: str = "p") -> str:
+    """``p``: the property; ``c``: its codes; ``l``: its list; ``n``: its number of terms."""
+    return f"{mark}:" + path.replace(".", ":")
 
 
-def table_type(schema: Schema) -> T.StructType:
+def words_of(index: Index) -> bool:
+    """Whether codes are 64-bit words of bits."""
+    return index.quantizer.kind == "binary" and index.metric not in D.BITS
+
+
+def base_type(schema: Schema) -> T.StructType:
+    """Documents and indexed properties."""
     out = T.StructType().add("_id", "string").add("_doc", "string").add("_seq", "long")
     for path, index in schema.items():
         out = out.add(column_name(path), SPARK_TYPES[index.kind])
     return out
 
 
+def table_type(schema: Schema) -> T.StructType:
+    """``base_type`` and the derived columns."""
+    out = base_type(schema)
+    for path, index in schema.items():
+        if words_of(index):
+            out = out.add(column_name(path, "c"), T.ArrayType(T.LongType()))
+        elif index.quantizer.kind == "product":
+            out = out.add(column_name(path, "c"), T.ArrayType(T.IntegerType()))
+        if index.lists:
+            out = out.add(column_name(path, "l"), T.IntegerType())
+        if index.kind == "text":
+            out = out.add(column_name(path, "n"), T.IntegerType())
+    return out
+
+
+POSTINGS = "path string, term string, _id string, tf int, length int, _seq long"
+
+
 class Documents(compiler.Source):
-    """Documents as JSON: predicates and rankers read the typed columns, selection and sorting the documents."""
+    """Documents as JSON: predicates and rankers read the typed columns, selection and sorting the documents.
+
+    With ``fits`` and ``postings`` of a collection, rankers read stored codes, lists and postings.
+    """
 
-    def __init__(self, df: DataFrame, schema: Schema):
+    def __init__(self, df: DataFrame, schema: Schema, fits: dict | None = None, postings: DataFrame | None = None):
         super().__init__(df, "_id", schema, lambda path: F.col(f"`{column_name(path)}`"))
+        self.fits, self.postings = fits or {}, postings
+
+    def distance(self, path: str, query) -> Column:
+        index, fit = self.schema[path], self.fits.get(path, {})
+        code = F.col(f"`{column_name(path, 'c')}`")
+        if "thresholds" in fit:
+            got = quantize.words_distance(index.quantizer.metric, code, quantize.packed_query(query, fit["thresholds"]))
+            return F.when(code.isNotNull(), got)
+        if "books" in fit:
+            return F.when(code.isNotNull(), quantize.Product.of(fit["books"], index.metric).asymmetric(code, query))
+        if index.quantizer.kind != "none" and index.metric not in D.BITS and column_name(path, "c") in self.df.columns:
+            # not fitted yet: vectors as they are
+            metric = "euclidean" if index.quantizer.kind == "product" and index.metric == "cosine" else index.metric
+            return D.distance(metric, self.of(path), query)
+        return super().distance(path, query)
+
+    def probed(self, path: str, query) -> Column | None:
+        index, fit = self.schema[path], self.fits.get(path, {})
+        if "centroids" not in fit:
+            return None
+        return F.col(f"`{column_name(path, 'l')}`").isin(ivf.nearest_lists(fit["centroids"], index.metric, query, index.probes))
+
+    def text_scores(self, path: str, query: str, every: bool, within: Column | None, restrict: DataFrame | None) -> DataFrame:
+        if self.postings is None:
+            return super().text_scores(path, query, every, within, restrict)
+        if within is not None:
+            restrict = self.df.where(within).select("_id")
+        n = self.df.where(F.col(f"`{column_name(path, 'n')}`") > 0).agg(F.count("*"))
+        return text_ops.from_postings(self.postings.where(F.col("path") == path), "_id", n, query, every, restrict)
 
     def payload(self, select: tuple[str, ...]) -> tuple[list[Column], set[str] | None]:
         if not select:
@@ -83,6 +152,18 @@ class Documents(compiler.Source):
         return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys]
 
 
+def parsed(text, size: int) -> dict:
+    """A point from its JSON; raises where it isn't an object or too large."""
+    need(isinstance(text, str), "a point is a JSON object, not null")
+    need(len(text.encode()) <= size, f"a point has more than {size} bytes")
+    try:
+        point = json.loads(text)
+    except ValueError as e:
+        raise ValidationError(f"a point is not JSON: {e}") from e
+    need(isinstance(point, dict), "a point is an object")
+    return point
+
+
 class Collection:
     """One collection of a user; made by a ``Catalog``."""
 
@@ -90,7 +171,8 @@ class Collection:
         self.spark, self.path, self.plan = spark, path, plan
         self.meta = json.loads(files.read_text(spark, f"{path}/meta.json"))
         self.schema = parse_schema(self.meta["schema"])
-        self.type = table_type(self.schema)
+        self.type, self.base = table_type(self.schema), base_type(self.schema)
+        self.texts = [path for path, index in self.schema.items() if index.kind == "text"]
 
     @property
     def manifest(self) -> dict:
@@ -99,12 +181,13 @@ class Collection:
     def _commit(self, manifest: dict) -> None:
         files.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
 
-    def df(self) -> DataFrame:
-        """All live rows."""
-        m = self.manifest
-        if not m["parts"]:
-            return self.spark.createDataFrame([], self.type)
-        rows = self.spark.read.schema(self.type).parquet(*(f"{self.path}/parts/{p}" for p in m["parts"]))
+    def fits(self, m: dict | None = None) -> dict:
+        """What was fitted: thresholds, books or centroids by path."""
+        name = (m or self.manifest).get("fits")
+        return json.loads(files.read_text(self.spark, f"{self.path}/{name}")) if name else {}
+
+    def _live(self, rows: DataFrame, m: dict) -> DataFrame:
+        """Rows of parts or postings that no tombstone covers."""
         if not m["tombstones"]:
             return rows
         dead = self.spark.read.schema("_id string, _seq long").parquet(*(f"{self.path}/tombstones/{p}" for p in m["tombstones"]))
@@ -112,6 +195,93 @@ class Collection:
         dead = F.broadcast(dead) if m["dead"] <= BROADCAST_TOMBSTONES else dead
         return rows.join(dead, "_id", "left").where("__dead is null or __dead <= _seq").drop("__dead")
 
+    def df(self) -> DataFrame:
+        """All live rows."""
+        m = self.manifest
+        if not m["parts"]:
+            return self.spark.createDataFrame([], self.type)
+        return self._live(self.spark.read.schema(self.type).parquet(*(f"{self.path}/parts/{p}" for p in m["parts"])), m)
+
+    def postings(self) -> DataFrame | None:
+        """(path, term, _id, tf, length) of all live texts; None where no text is indexed."""
+        m = self.manifest
+        if not self.texts:
+            return None
+        if not m["parts"]:
+            return self.spark.createDataFrame([], POSTINGS)
+        return self._live(self.spark.read.schema(POSTINGS).parquet(*(f"{self.path}/postings/{p}" for p in m["parts"])), m)
+
+    def _derived(self, rows: DataFrame, fits: dict) -> DataFrame:
+        """``rows`` of the base columns with the columns that indexes derive."""
+        out = rows.select(*(F.col(f"`{n}`") for n in self.base.names))
+        for path, index in self.schema.items():
+            value, fit = F.col(f"`{column_name(path)}`"), fits.get(path, {})
+            if words_of(index) or index.quantizer.kind == "product":
+                code = F.lit(None)
+                if "thresholds" in fit:
+                    code = F.when(value.isNotNull(), D.packed(value, index.size, fit["thresholds"]))
+                elif "books" in fit:
+                    code = quantize.Product.of(fit["books"], index.metric).encode(value)
+                out = out.withColumn(column_name(path, "c"), code.cast(self.type[column_name(path, "c")].dataType))
+            if index.lists:
+                number = ivf.list_of(value, fit["centroids"], index.metric) if "centroids" in fit else F.lit(None)
+                out = out.withColumn(column_name(path, "l"), number.cast("int"))
+            if index.kind == "text":
+                out = out.withColumn(column_name(path, "n"), F.when(value.isNotNull(), F.size(tokens(value))))
+        return out.select(*(F.col(f"`{n}`") for n in self.type.names))
+
+    def _write(self, rows: DataFrame, part: str, fits: dict, small: bool) -> DataFrame:
+        """A part of ``rows`` (base columns) and its postings; the part is read back."""
+        rows = self._derived(rows, fits)
+        listed = [f"`{column_name(path, 'l')}`" for path, index in self.schema.items() if index.lists]
+        if small:
+            rows = rows.coalesce(1)
+        elif listed:
+            rows = rows.repartitionByRange(*listed, "_id")
+        if listed:  # files know the least and greatest list of each of their groups of rows
+            rows = rows.sortWithinPartitions(*listed)
+        rows.write.parquet(f"{self.path}/parts/{part}")
+        written = self.spark.read.schema(self.type).parquet(f"{self.path}/parts/{part}")
+        if self.texts:
+            each = None
+            for path in self.texts:
+                terms = written.select(F.lit(path).alias("path"), F.explode(tokens(F.col(f"`{column_name(path)}`"))).alias("term"), "_id", F.col(f"`{column_name(path, 'n')}`").alias("length"), "_seq")
+                terms = terms.groupBy("path", "term", "_id", "length", "_seq").agg(F.count("*").cast("int").alias("tf"))
+                each = terms if each is None else each.unionByName(terms)
+            each = each.select("path", "term", "_id", "tf", "length", "_seq")
+            # by term, so that a query reads few files and groups of rows; the id parts the postings of a frequent term
+            each = each.coalesce(1) if small else each.repartitionByRange("path", "term", "_id")
+            each.sortWithinPartitions("path", "term").write.parquet(f"{self.path}/postings/{part}")
+        return written
+
+    def _drop(self, *parts: str) -> None:
+        for p in parts:
+            files.remove(self.spark, f"{self.path}/parts/{p}")
+            files.remove(self.spark, f"{self.path}/postings/{p}")
+
+    def _fit(self) -> None:
+        """Fit, once, what has no fit yet and enough vectors; then all parts are written anew with what it derives."""
+        m = self.manifest
+        fits, new = self.fits(m), {}
+        for path, index in self.schema.items():
+            q, column, fit = index.quantizer, F.col(f"`{column_name(path)}`"), fits.get(path, {})
+            got: dict = {}
+            if words_of(index) and "thresholds" not in fit and (q.threshold is not None or m["count"] >= max(1, q.trigger)):
+                found = quantize.fit_binary(self.df(), column, q)
+                got |= {} if found is None else {"thresholds": found if isinstance(found, list) else [found] * index.size}
+            if q.kind == "product" and "books" not in fit and m["count"] >= max(1, q.trigger):
+                book = quantize.fit_product(self.df(), "_id", column, q, index.metric)
+                got |= {} if book is None else {"books": book.plain()}
+            if index.lists and "centroids" not in fit and m["count"] >= LISTS_TRIGGER * index.lists:
+                rows = self.df().where(column.isNotNull()).select("_id", column.alias("v"))
+                got |= {"centroids": ivf.fit(rows, "_id", "v", index.lists).tolist()}
+            if got:
+                new[path] = fit | got
+        if new:
+            name = f"fits-{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}.json"
+            files.write_text(self.spark, f"{self.path}/{name}", json.dumps(fits | new))
+            self.compact(fits=name)
+
     def count(self) -> int:
         return self.manifest["count"]
 
@@ -122,7 +292,7 @@ class Collection:
 
     def _rows(self, points: list[tuple[str, dict, dict]], seq: int) -> DataFrame:
         rows = [(pid, json.dumps(doc, ensure_ascii=False), seq, *(indexed.get(path) for path in self.schema)) for pid, doc, indexed in points]
-        return self.spark.createDataFrame(rows, self.type)
+        return self.spark.createDataFrame(rows, self.base)
 
     def _sized(self, doc: dict, n: int | str) -> dict:
         size = len(json.dumps(doc, ensure_ascii=False).encode())
@@ -145,10 +315,13 @@ class Collection:
         return ids
 
     def insert_frame(self, df: DataFrame) -> int:
-        """Insert a frame of ``_id`` (or null: made) and ``_doc`` (JSON objects) of any size; returns the number of rows."""
+        """Insert a frame of ``_id`` (or null: made) and ``_doc`` (JSON objects) of any size; returns the number of rows.
+
+        One bad row refuses the frame. Rows without an id get a new one each, equal documents too.
+        """
         m = self.manifest
         schema, size = self.schema, self.plan.max_point_size
-        names = self.type.names
+        names = self.base.names
         seq = m["seq"] + 1
 
         def run(batches):
@@ -157,22 +330,21 @@ class Collection:
             for pdf in batches:
                 out = []
                 for pid, text in zip(pdf["_id"], pdf["_doc"]):
-                    if len(text.encode()) > size:
-                        raise ValidationError(f"a point has more than {size} bytes")
-                    point = json.loads(text) | ({"_id": pid} if pid else {})
-                    key, doc, indexed = checked_point(schema, point, False)
-                    key = key or str(uuid.uuid5(uuid.NAMESPACE_OID, text))
-                    out.append((key, json.dumps(doc, ensure_ascii=False), seq, *(indexed.get(p) for p in schema)))
-                yield pd.DataFrame(out, columns=names)
+                    point = parsed(text, size)
+                    key, doc, indexed = checked_point(schema, point | ({"_id": pid} if isinstance(pid, str) else {}), False)
+                    # the part that is written is what is read from then on, so an id made here stays
+                    out.append((key or str(uuid.uuid4()), json.dumps(doc, ensure_ascii=False), seq, *(indexed.get(p) for p in schema)))
+                yield pd.DataFrame(out, columns=names, dtype=object)
 
         part = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
-        df.select("_id", "_doc").mapInPandas(run, self.type).write.parquet(f"{self.path}/parts/{part}")
-        rows = self.spark.read.schema(self.type).parquet(f"{self.path}/parts/{part}")
-        n = rows.count()
         try:
+            rows = self._write(df.select("_id", "_doc").mapInPandas(run, self.base), part, self.fits(m), False)
+            n = rows.count()
             self._insert(rows, n, m, part)
-        except Exception:
-            files.remove(self.spark, f"{self.path}/parts/{part}")
+        except Exception as e:
+            self._drop(part)
+            if found := re.search(r"ValidationError: (.*)", str(e)):
+                raise ValidationError(found[1]) from e
             raise
         return n
 
@@ -187,15 +359,21 @@ class Collection:
             raise AlreadyExists(f"point {found[0]['_id']} is there already")
         if not part:
             part = f"{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            rows.coalesce(1).write.parquet(f"{self.path}/parts/{part}")
+            self._write(rows, part, self.fits(m), True)
         self._commit(m | {"seq": m["seq"] + 1, "parts": [*m["parts"], part], "count": m["count"] + n})
+        self._upkeep()
+
+    def _upkeep(self) -> None:
+        self._fit()
+        if len(self.manifest["parts"]) > self.plan.max_parts:
+            self.compact()
 
     def _bury(self, ids: list[str], m: dict, seq: int) -> dict:
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
         self.spark.createDataFrame([(i, seq) for i in ids], "_id string, _seq long").coalesce(1).write.parquet(f"{self.path}/tombstones/{name}")
         return {"seq": seq, "tombstones": [*m["tombstones"], name], "dead": m["dead"] + len(ids)}
 
-    def _live(self, ids: list[str]) -> DataFrame:
+    def _of(self, ids: list[str]) -> DataFrame:
         return self.df().where(F.col("_id").isin(ids))
 
     def update(self, points: list[dict]) -> list[dict]:
@@ -210,7 +388,7 @@ class Collection:
             changes[pid] = self._sized(doc, n)
         m = self.manifest
         rows = []
-        for r in self._live(list(changes)).select("_id", "_doc").collect():  # 100 at most
+        for r in self._of(list(changes)).select("_id", "_doc").collect():  # 100 at most
             doc = json.loads(r["_doc"]) | changes[r["_id"]]
             doc = {k: v for k, v in doc.items() if v != REMOVE}
             _, doc, indexed = checked_point(self.schema, doc, False)
@@ -219,8 +397,9 @@ class Collection:
             seq = m["seq"] + 1
             change = self._bury([r[0] for r in rows], m, seq)
             part = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
-            self._rows(rows, seq).coalesce(1).write.parquet(f"{self.path}/parts/{part}")
+            self._write(self._rows(rows, seq), part, self.fits(m), True)
             self._commit(m | change | {"parts": [*m["parts"], part]})
+            self._upkeep()
         done = {r[0] for r in rows}
         return [{"id": i, "error": "not found"} for i in changes if i not in done]
 
@@ -231,13 +410,13 @@ class Collection:
             need(isinstance(i, str) and UUID.fullmatch(i) is not None, f"not a UUID: {i!r}")
         ids = list(dict.fromkeys(i.lower() for i in ids))
         m = self.manifest
-        found = [r["_id"] for r in self._live(ids).select("_id").collect()]
+        found = [r["_id"] for r in self._of(ids).select("_id").collect()]
         if found:
             self._commit(m | self._bury(found, m, m["seq"] + 1) | {"count": m["count"] - len(found)})
         return [{"id": i, "error": "not found"} for i in ids if i not in set(found)]
 
     def search(self, request: Request | dict | str, rank: bool = False) -> DataFrame:
-        return compiler.search(Documents(self.df(), self.schema), request, rank)
+        return compiler.search(Documents(self.df(), self.schema, self.fits(), self.postings()), request, rank)
 
     def results(self, request: Request | dict | str) -> list[dict[str, Any]]:
         """The hits as documents with ``_id`` and the score fields, which win over fields of their names."""
@@ -249,12 +428,38 @@ class Collection:
             out.append(doc | {"_hybridScore": r["_hybridScore"]})
         return out
 
-    def compact(self, rows_per_file: int = 1_000_000) -> None:
-        """Write the live rows anew, without tombstones, in files of at most ``rows_per_file``."""
+    def compact(self, rows_per_file: int = 1_000_000, fits: str | None = None) -> None:
+        """Write the live rows anew, without tombstones, in files of at most ``rows_per_file``; ``fits``: what to derive by.
+
+        Parts that are no longer named stay until ``vacuum``, for readers that still have them.
+        """
         m = self.manifest
+        fits = fits or m.get("fits")
         part = f"{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        self.df().write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/parts/{part}")
-        self._commit(m | {"seq": m["seq"] + 1, "parts": [part], "tombstones": [], "dead": 0})
+        files_now = max(1, -(-m["count"] // rows_per_file))
+        rows = self.df().select(*(F.col(f"`{n}`") for n in self.base.names))
+        listed = [f"`{column_name(path, 'l')}`" for path, index in self.schema.items() if index.lists]
+        # with lists, rows of one list lie together, so that a search reads few of them
+        self._write(rows if listed else rows.repartition(files_now), part, self.fits({"fits": fits}), False)
+        self._commit(m | {"seq": m["seq"] + 1, "parts": [part], "tombstones": [], "dead": 0, "fits": fits})
+
+    def vacuum(self) -> int:
+        """Delete parts, postings and tombstones that the manifest doesn't name; returns how many folders went."""
+        m, gone = self.manifest, 0
+        for kind, named in (("parts", m["parts"]), ("postings", m["parts"]), ("tombstones", m["tombstones"])):
+            for name in set(files.children(self.spark, f"{self.path}/{kind}")) - set(named):
+                files.remove(self.spark, f"{self.path}/{kind}/{name}")
+                gone += 1
+        return gone
+
+    def dump(self, path: str) -> None:
+        """All live documents as JSON lines, each with its ``_id``."""
+        self.df().select(F.to_json(F.struct("_id", F.col("_doc").alias("doc"))).alias("value")).write.text(path)
+
+    def load_dump(self, path: str) -> int:
+        """Insert what ``dump`` wrote; returns the number of points."""
+        rows = self.spark.read.text(path).select(F.from_json("value", "_id string, doc string").alias("r"))
+        return self.insert_frame(rows.select("r._id", F.col("r.doc").alias("_doc")))
 
     def backup(self, folder: str, keep: int = 3, least_seconds: float = 0) -> str | None:
         """A snapshot under ``folder``, named by the time; the last ``keep`` stay. None if the last is too recent."""
@@ -313,6 +518,27 @@ class Catalog:
         files.remove(self.spark, self._path(user, name))
 
 
+def migrate_vectors(rows: DataFrame, to: Collection, vector: str = "vector", metadata: str = "metadata", id_col: str = "id") -> int:
+    """Points of the vector-only form (id, vector, metadata as JSON or null) as documents of ``to``.
+
+    The keys of the metadata become top-level fields beside ``vector``; metadata that is no object is kept as ``metadata``.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for pid, vec, text in zip(pdf["id"], pdf["vector"], pdf["metadata"]):
+                meta = json.loads(text) if isinstance(text, str) else {}
+                doc = (meta if isinstance(meta, dict) else {"metadata": meta}) | {"vector": [float(v) for v in vec]}
+                out.append((pid, json.dumps(doc, ensure_ascii=False)))
+            yield pd.DataFrame(out, columns=["_id", "_doc"], dtype=object)
+
+    old = rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector).alias("vector"), F.col(metadata).cast("string").alias("metadata"))
+    return to.insert_frame(old.mapInPandas(run, "_id string, _doc string"))
+
+
 def vector_search(collection: Collection, vector: list[float], limit: int = 10) -> DataFrame:
     """The vector-only search of ``create_vectors`` collections: nearest points with their documents and distances."""
     need(0 <= limit <= 75, "limit must be from 0 to 75")

@@ -47,3 +47,12 @@ def test_entry(spark):
     assert e.entry(spark).count() == 10
     assert set(QUERIES) <= set(e.queries()) and set(ORACLE_SQL) <= set(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_json_schemas():
+    from sonda.plans.json_schema import index_schema, search_request
+
+    kinds = {x["properties"]["type"]["const"] for x in index_schema()["additionalProperties"]["oneOf"]}
+    assert kinds == {"vectorFlat", "vectorVamana", "text", "string", "stringArray", "integer", "float"}
+    q = search_request()["$defs"]["query"]["properties"]
+    assert kinds < set(q) and q["_and"]["items"] == {"$ref": "#/$defs/query"} and q["integer"]["properties"]["operator"]["enum"][-1] == "inRange"
