@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonda.llm import decontaminate, jaccard, packing, quality, secrets
-from sonda.llm.common import staged
+from sonda.llm.common import release, staged
 from sonda.llm.queries import table, tokenizer
 
 #: Documents that score below this are rejected; the classifier was fitted with the same rule as the query of the operator.
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs, name)
+            release(before)
     return docs
