@@ -133,8 +133,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def per_worker(make: Callable, store: dict, key: object):
-    """One object per Python worker, e.g. a loaded tokenizer."""
-    if key not in store:
-        store[key] = make()
-    return store[key]
+_LOADED: dict = {}
+
+
+def per_worker(make: Callable, key: object):
+    """One object for each Python worker, e.g. a loaded tokenizer; another key drops it, so that a worker that serves one
+    operator after another doesn't gather the tables of all."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
+def unloaded() -> None:
+    """Drop what ``per_worker`` keeps; operators call it that use no such object."""
+    _LOADED.clear()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, partitions, release, slices, sorted_groups, staged
+from .common import buffers, id_text, partitions, release, slices, sorted_groups, staged, unloaded
 from .components import components
 from .words import U, mix, shingles, words
 
@@ -142,6 +142,7 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     runs = runs_needed(similarity, recall, branching)
 
     def run(batches):
+        unloaded()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in slices(offsets):
@@ -222,53 +223,59 @@ def _bucket(lead: list[tuple[bytes, bytes]], least: float, sure: float):
 def _follow(depth: int, similarity: float, branching: float):
     """Members of large buckets against the ``LEADERS`` of their bucket: edges, and the next paths of those not done.
 
-    Every member is compared with every leader. One that is sure to be like the leader of a dense group is done with this
-    bucket: by the triangle inequality of Jaccard distance its own partners are near enough to that leader to get an
-    edge too. The others sample tokens (bin, value) of their sketches: rare ones of this bucket, at such a rate that of those
-    a partner must share ``branching * similarity`` are sampled on average, and common ones only where rare ones are few.
+    Rows are sorted by path and slice, the leaders of a bucket first. Every member is compared with every leader. One that
+    is sure to be like the leader of a dense group is done with this bucket: by the triangle inequality of Jaccard
+    distance its own partners are near enough to that leader to get an edge too. The others sample tokens (bin, value) of
+    their sketches: rare ones of this bucket, at such a rate that of those a partner must share ``branching * similarity``
+    are sampled on average, and common ones only where rare ones are few.
     """
     least, sure = similarity - 0.8 + NEAR, similarity - 0.8 + SURE
+    bins = np.arange(BINS, dtype=U)[None] * U(65536)
+
+    def members(path: int, keys: pa.Array, sketch: np.ndarray, bucket) -> pa.RecordBatch:
+        ls, dense, names = bucket
+        n = len(sketch)
+        full = sketch > 0
+        had = np.zeros(sketch.shape, np.uint8)
+        for x in ls:
+            had += sketch == x
+        rare = full & (had <= COMMON * len(ls))
+        size = np.maximum(full.sum(1), 1)
+        left = rare.sum(1) / size - (1 - similarity)  # what a partner must have of them
+        # of each token the chance that it is sampled
+        often = branching * similarity / (np.maximum(left, LEAST_RARE) - MARGIN) / size
+        pick = np.where(rare, often[:, None], full * ((left < LEAST_RARE) * branching / size)[:, None])
+        edges: list[list[bytes]] = [[] for _ in range(n)]
+        if len(dense):
+            like = np.stack([_alike(sketch, ls[x]) for x in dense.tolist()], 1)
+            pick[(like >= sure).any(1)] = 0
+            for r in np.flatnonzero((like >= least).any(1)).tolist():
+                edges[r] = sorted(set(names[like[r] >= least].tolist()))
+        at = np.array([path]).view(U)
+        token = mix((bins + sketch.astype(U)) ^ mix(at + U(depth)))
+        row, cell = np.nonzero(token.astype(np.float64) < pick * 2.0**64)
+        new = mix(token[row, cell] + at).view(np.int64)
+        off = np.searchsorted(row, np.arange(n + 1))
+        cols = [keys, pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(edges, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(new))]
+        return pa.RecordBatch.from_arrays(cols, ["key", "sketch", "near", "next"])
 
     def run(batches):
-        known: dict = {}
-        bins = np.arange(BINS, dtype=U)[None] * U(65536)
+        now, lead, bucket = None, [], None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            path = batch.column("path").to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(n, BINS)
-            done, edges = np.zeros(n, bool), [[] for _ in range(n)]
-            full = sketch > 0
-            pick = np.zeros(sketch.shape)  # of each token the chance that it is sampled
-            for p in np.unique(path).tolist():
-                rows = np.flatnonzero(path == p)
-                if p not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[p] = _bucket([(x["key"], x["sketch"]) for x in batch.column("leaders")[int(rows[0])].as_py()], least, sure)
-                ls, dense, names = known[p]
-                part = sketch[rows]
-                had = np.zeros(part.shape, np.uint8)
-                for x in ls:
-                    had += part == x
-                rare = full[rows] & (had <= COMMON * len(ls))
-                size = np.maximum(full[rows].sum(1), 1)
-                left = rare.sum(1) / size - (1 - similarity)  # what a partner must have of them
-                pick[rows] = (branching * similarity / (np.maximum(left, LEAST_RARE) - MARGIN) / size)[:, None] * rare
-                pick[rows] += ((left < LEAST_RARE) * branching / size)[:, None] * (full[rows] & ~rare)
-                if len(dense):
-                    like = np.stack([_alike(part, ls[x]) for x in dense.tolist()], 1)
-                    done[rows] = (like >= sure).any(1)
-                    for r, hit in zip(rows.tolist(), like >= least):
-                        if hit.any():
-                            edges[r] = sorted(set(names[hit].tolist()))
-            at = path.view(U)
-            token = mix((bins + sketch.astype(U)) ^ mix(at + U(depth))[:, None])
-            row, cell = np.nonzero(~done[:, None] & (token.astype(np.float64) < pick * 2.0**64))
-            new = mix(token[row, cell] + at[row]).view(np.int64)
-            off = np.searchsorted(row, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sketch"), pa.array(edges, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(new))], ["key", "sketch", "near", "next"])
+            path, part, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "slice", "member"))
+            keys = batch.column("key")
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, BINS)
+            cut = np.flatnonzero((path[1:] != path[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if now != (path[a], part[a]):
+                    now, lead, bucket = (path[a], part[a]), [], None
+                m = a + int(np.searchsorted(member[a:b], True))
+                lead += [(keys[k].as_py(), sketch[k].tobytes()) for k in range(a, m)]
+                if m < b:
+                    bucket = bucket or _bucket(lead, least, sure)
+                    yield members(int(path[a]), keys.slice(m, b - m), sketch[m:b], bucket)
 
     return run
 
@@ -305,12 +312,12 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float =
         if depth == 1:
             wide = _uncovered(wide, nodes, enough)
         # leaders: of each of LEADERS hash slots the least member; they are sent to every slice of their bucket
-        slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"), F.max("n").alias("n"))
         slices_of = F.ceil(F.col("n") / SLICE).cast("int")
-        led = slot.groupBy("path").agg(F.collect_list("leader").alias("leaders"), F.max("n").alias("n"))
-        led = led.select("path", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), "leaders")
-        members = wide.select("path", F.pmod(F.xxhash64("key"), slices_of).cast("int").alias("slice"), "key", "sketch")
-        led = staged(members.join(led, ["path", "slice"]).mapInArrow(_follow(depth, similarity, SPLIT), "key binary, sketch binary, near array<binary>, next array<bigint>"), "led")
+        slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"), F.max("n").alias("n"))
+        lead = slot.select("path", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(False).alias("member"), "leader.key", "leader.sketch")
+        rows = wide.select("path", F.pmod(F.xxhash64("key"), slices_of).cast("int").alias("slice"), F.lit(True).alias("member"), "key", "sketch").unionByName(lead)
+        rows = rows.repartition(parts, "path", "slice").sortWithinPartitions("path", "slice", "member", "key")
+        led = staged(rows.mapInArrow(_follow(depth, similarity, SPLIT), "key binary, sketch binary, near array<binary>, next array<bigint>"), "led")
         edges.append(led.select(F.col("key").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct())
         new = led.select(F.explode("next").alias("path"), "key", "sketch")
         level = staged(_sized(new).select("path", "n", "key", "sketch"), "paths")

@@ -13,6 +13,7 @@ Columns other than id and text are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ from .common import id_text, numbered, per_worker, staged
 from .encoding import Encoder
 
 LENGTH = 2048
-_LOADED: dict = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     names = ["id", "key", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
-        encoder = per_worker(lambda: Encoder(tokenizer), _LOADED, tokenizer)
+        encoder = per_worker(lambda: Encoder(tokenizer), (tokenizer, "<u4"))
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * length
         for batch in batches:
@@ -76,11 +76,16 @@ def places(plan) -> dict[str, np.ndarray]:
     return dict(zip(("size", "first", "sequence", "each", "offset"), np.array(rows, np.int64).reshape(-1, 5).T))
 
 
-def packed(parts: DataFrame, length: int = LENGTH, nodes: int = NODES) -> DataFrame:
-    """``parts`` (of ``pieces``; staged, as they are read twice) with sequence_id and offset."""
+def packed(parts: DataFrame, length: int = LENGTH, nodes: int = NODES, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """``parts`` (of ``pieces``; staged, as they are read twice) with sequence_id and offset.
+
+    ``report`` gets the number of sequences and the lower bound of any packing.
+    """
     spark = parts.sparkSession
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # one row for each length
-    plan, _ = pack(counts, length, nodes)
+    plan, bound = pack(counts, length, nodes)
+    if report:
+        report(sum(n for _, n in plan), bound)
     table = spark.sparkContext.broadcast(places(plan))
     ranked = numbered(parts, "length", ["id", "key", "piece"], F.xxhash64("key", "piece"))
     kept = parts.columns

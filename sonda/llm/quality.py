@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, slices
+from .common import buffers, id_text, slices, unloaded
 from .words import U, mix, powers
 
 TRAIN_ROWS = 4000
@@ -91,7 +91,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offsets = buffers(texts)
         out = np.empty(len(texts))
-        for a, b in slices(offsets, 1 << 19):
+        for a, b in slices(offsets, 1 << 18):
             s, c = np.zeros(b - a), np.zeros(b - a)
             for doc, bucket in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(self.folded)):
                 s += np.bincount(doc, self.folded[bucket], b - a)
@@ -189,6 +189,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     def run(batches):
+        unloaded()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(batch.column("text")))], ["id", "score"])
 
@@ -200,6 +201,7 @@ def kept(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        unloaded()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(text_col)) >= least))
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from .common import buffers, id_text, per_worker, slices
 from .transducer import Transducer
 
-_LOADED: dict[str, Transducer] = {}
 
 
 def count_texts(t: Transducer, texts: pa.Array) -> np.ndarray:
@@ -46,7 +45,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = id_text(docs, id_col, text_col)
 
     def run(batches):
-        t = per_worker(lambda: Transducer(path), _LOADED, path)
+        t = per_worker(lambda: Transducer(path), path)
         for batch in batches:
             texts = batch.column("text")
             _, offsets = buffers(texts)

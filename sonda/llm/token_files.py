@@ -12,6 +12,7 @@ written as often as they occur. Columns other than id and text are ignored. An e
 
 from __future__ import annotations
 
+import bisect
 import mmap
 import uuid
 import zlib
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import id_text, new_path, partitions, per_worker
 from .encoding import Encoder
 
-_LOADED: dict = {}
 
 
 def opened(uri: str):
@@ -58,7 +58,7 @@ class TokenFiles:
 
     @property
     def n_docs(self) -> int:
-        return sum(p[1] for p in self.parts)
+        return self.parts[-1][3] + self.parts[-1][1] if self.parts else 0
 
     @property
     def n_ids(self) -> int:
@@ -66,11 +66,18 @@ class TokenFiles:
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, through the maps."""
-        name, *_ = part = next(p for p in self.parts if p[3] <= i < p[3] + p[1])
+        if not 0 <= i < self.n_docs:
+            raise IndexError(i)
+        name, *_ = part = self.parts[bisect.bisect_right(self.parts, i, key=lambda p: p[3]) - 1]
         off = mapped(f"{self.path}/{name}.off", "<u8")
         a, b = off[i - part[3] : i - part[3] + 2].tolist()
         return mapped(f"{self.path}/{name}.bin", self.dtype)[a:b]
 
+    def delete(self) -> None:
+        """Delete the files; frames of ``read`` must not be used any more."""
+        system, at = opened(self.path)
+        system.delete_dir(at)
+
     def read(self, spark: SparkSession) -> DataFrame:
         """id, start (ids of all documents before), n_tokens, ids_crc32 of every document, from the files."""
         path, dtype = self.path, self.dtype
@@ -114,7 +121,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 2, path: str | N
                 if not batch.num_rows:
                     continue
                 if out is None:
-                    encoder = per_worker(lambda: Encoder(tokenizer, dtype), _LOADED, (tokenizer, dtype))
+                    encoder = per_worker(lambda: Encoder(tokenizer, dtype), (tokenizer, dtype))
                     out, off, raw = (system.open_output_stream(f"{at}/{name}.{x}") for x in ("bin", "off", "ids"))
                     ids = pa.ipc.new_file(raw, pa.schema([("id", batch.column("id").type)]))
                     off.write(np.zeros(1, "<u8"))

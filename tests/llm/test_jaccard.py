@@ -110,7 +110,7 @@ def never_met(pairs, levels, common=0, seed=3):
         n = min(500, pairs - lo)
         _, h, first = pairs_of_sets(rng, n, common)
         sketch = [x.tobytes() for x in jaccard._sketches(h, first)]
-        leaders = [{"key": -1 - i, "sketch": sketch[2 * i]} for i in range(jaccard.LEADERS)]
+        leaders = [sketch[2 * i] for i in range(jaccard.LEADERS)]
         doc, path = jaccard._paths(h, first, runs, jaccard.BRANCHING)
         run = np.cumsum(np.diff(doc, prepend=0) < 0)  # documents ascend within a run
         assert run[-1] == runs - 1
@@ -121,10 +121,12 @@ def never_met(pairs, levels, common=0, seed=3):
                 rows = sorted((d, p) for d, p in rows if (d ^ 1, p) in rows)
                 if level == levels or not rows:
                     break
-                same = pa.DictionaryArray.from_arrays(pa.array([0] * len(rows)), pa.array([leaders])).dictionary_decode()
-                batch = pa.RecordBatch.from_arrays([pa.array([p for _, p in rows]), pa.array([d for d, _ in rows]), pa.array([sketch[d] for d, _ in rows]), same], ["path", "key", "sketch", "leaders"])
-                new = next(jaccard._follow(level, 0.8, jaccard.SPLIT)([batch]))
-                rows = {(d, p) for d, x in zip(new.column("key").to_pylist(), new.column("next").to_pylist()) for p in x}
+                paths = sorted({p for _, p in rows})
+                each = sorted([(p, False, -1 - i, x) for p in paths for i, x in enumerate(leaders)] + [(p, True, d, sketch[d]) for d, p in rows], key=lambda r: r[:3])
+                batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in each]), pa.array([0] * len(each)), *(pa.array([r[k] for r in each]) for k in (1, 2, 3))], ["path", "slice", "member", "key", "sketch"])
+                rows = set()
+                for new in jaccard._follow(level, 0.8, jaccard.SPLIT)(batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
+                    rows |= {(d, p) for d, x in zip(new.column("key").to_pylist(), new.column("next").to_pylist()) for p in x}
             met |= {d // 2 for d, _ in rows}
         lost += n - len(met)
     return lost
