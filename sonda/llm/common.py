@@ -108,6 +108,12 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         a = b
 
 
+def strings(col: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The strings of a column, of which only so many rows at a time are Python objects."""
+    for a in range(0, len(col), rows):
+        yield from col.slice(a, rows).to_pylist()
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole key groups from a stream that is sorted by ``keys``; a table holds many small groups."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bins import NODES, pack
-from .common import id_text, numbered, per_worker, staged
+from .common import id_text, numbered, per_worker, staged, strings
 from .encoding import Encoder
 
 LENGTH = 2048
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         step = 4 * length
         for batch in batches:
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(strings(batch.column("text"))):
                 b = encoder.ids(text) + end
                 at, k = 0, len(b) % step or step
                 while at < len(b):

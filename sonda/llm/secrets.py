@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, strings, unloaded
 
 #: Fixed patterns; letters of the first in either case (ASCII only).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -137,7 +137,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
 
     def run(batches):
         for batch in batches:
-            got = list(dict.fromkeys(x for t in batch.column("text").to_pylist() for x in labelled(t)))
+            got = list(dict.fromkeys(x for t in strings(batch.column("text")) for x in labelled(t)))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array([y for _, y in got], pa.int32())], ["token", "y"])
 
     found = picked.select("text").mapInArrow(run, "token string, y int").distinct()
@@ -170,8 +170,9 @@ def spans(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        unloaded()
         for batch in batches:
-            found = [[(KINDS[k], a, b) for a, k, b in all_spans(t, shared.value)] for t in batch.column("text").to_pylist()]
+            found = [[(KINDS[k], a, b) for a, k, b in all_spans(t, shared.value)] for t in strings(batch.column("text"))]
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], ["id", "spans"])
 
@@ -197,9 +198,10 @@ def redacted(docs: DataFrame, model: Markov, text_col: str = "text", mark: str =
         return "".join([*out, text[at:]])
 
     def run(batches):
+        unloaded()
         for batch in batches:
             texts = batch.column(text_col)
-            new = pa.array([clean(t) for t in texts.to_pylist()], texts.type)
+            new = pa.array([clean(t) for t in strings(texts)], texts.type)
             yield pa.RecordBatch.from_arrays([new if k == text_col else batch.column(k) for k in batch.schema.names], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

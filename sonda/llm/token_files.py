@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text, new_path, partitions, per_worker
+from .common import id_text, new_path, partitions, per_worker, strings
 from .encoding import Encoder
 
 
@@ -126,7 +126,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 2, path: str | N
                     ids = pa.ipc.new_file(raw, pa.schema([("id", batch.column("id").type)]))
                     off.write(np.zeros(1, "<u8"))
                 lengths = np.empty(batch.num_rows, np.int64)
-                for i, text in enumerate(batch.column("text").to_pylist()):
+                for i, text in enumerate(strings(batch.column("text"))):
                     b = encoder.ids(text) + end
                     out.write(b)
                     lengths[i] = len(b) // width
