@@ -28,7 +28,7 @@ TRAIN_ROWS = 4000
 BUCKETS, DIM, EPOCHS, RATE, SEED, BATCH = 1 << 17, 8, 6, 0.3, 7, 16
 GRAMS = (3, 4, 5)
 #: Few samples are gone through more often, up to 60 times, until so many documents were visited.
-VISITS = 24_000
+VISITS = 12_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
@@ -100,11 +100,6 @@ class Model:
         return out
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Of each of ``n`` places the sum of its ``rows``."""
-    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], 1).astype(np.float32)
-
-
 def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, buckets: int = BUCKETS, seed: int = SEED) -> Model:
     """Fit on labelled texts by stochastic gradient descent over small batches of documents."""
     y = np.asarray(labels, np.int64)
@@ -130,15 +125,12 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
     moved, moved_layer = np.full(buckets, 1e-8, np.float32), np.full(layer.shape, 1e-8, np.float32)
     weight = np.where(y == 1, 1.0, np.sqrt((y == 1).sum() / max(1, (y == 0).sum()))).astype(np.float32)
     epochs = max(epochs, min(60, VISITS // len(y)))
-    lens = np.array([len(b) for b, _ in bags])
     for epoch in range(epochs):
         now = np.float32(rate * (1 - epoch / epochs))
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            bucket, share = (np.concatenate([bags[i][k] for i in pick]) for k in (0, 1))
-            row = np.repeat(np.arange(len(pick)), lens[pick])
-            mean = _sums(row, share[:, None] * vectors[bucket], len(pick))
+            mean = np.stack([bags[i][1] @ vectors[bags[i][0]] if len(bags[i][0]) else np.zeros(dim, np.float32) for i in pick])
             z = mean @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -149,11 +141,11 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPO
             moved_layer += grad * grad
             layer -= now * grad / np.sqrt(moved_layer)
             bias -= now * p.sum(0)
-            # every bucket of the batch takes one step
-            hit, at = np.unique(bucket, return_inverse=True)
-            step = _sums(at, share[:, None] * back[row], len(hit))
-            moved[hit] += (step * step).sum(1)
-            vectors[hit] -= now * step / np.sqrt(moved[hit])[:, None]
+            # a document's buckets are distinct, so they move together; one step for the batch would have to sort them all
+            for row, i in zip(back, pick):
+                b, share = bags[i]
+                moved[b] += share * share * np.float32(row @ row)
+                vectors[b] -= (now * share / np.sqrt(moved[b]))[:, None] * row
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
