@@ -5,7 +5,7 @@ run every set samples about ``branching`` of its shingles by a shared hash; sets
 share a bucket. Small buckets are compared by brute force on minhash sketches of ``BINS`` tokens of 16 bits. A set is covered,
 and goes no deeper, once so many of its samples lie in small buckets that a partner at the threshold can't have
 missed them all (``covering``). The others are split again inside their large buckets, on sampled shared tokens of
-their sketches. A few leaders of each bucket tell which tokens most of it has; those part nothing and are not
+their sketches, as many as the recall still needs (``mean_needed``). A few leaders of each bucket tell which tokens most of it has; those part nothing and are not
 sampled where a set has enough others. Where the leaders show that a bucket has a dense group, members much like
 its leaders are done there. Splits go down to ``DEPTH`` levels; what is then still together counts as candidates.
 Runs repeat until a pair at the threshold is found with probability ``recall`` even at the deepest level. Candidate
@@ -20,6 +20,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +50,9 @@ DENSE = 3
 #: Of the leaders: a token that more than this share of them have is common in the bucket.
 COMMON = 0.25
 #: A set samples common tokens only if its others aren't so much more of its sketch than partners may differ by.
-LEAST_RARE, MARGIN = 0.13, 2 * SPREAD
+LEAST_RARE, MARGIN = 5 * SPREAD, 2 * SPREAD
+#: Sets with more samples are held to what so many of them must have in small buckets.
+MOST_SAMPLED = 200
 #: Members of a large bucket that one task compares with its leaders.
 SLICE = 4096
 
@@ -71,19 +76,45 @@ def runs_needed(similarity: float, recall: float, branching: float, levels: int
     return runs
 
 
-def covering(similarity: float, recall: float, branching: float, runs: int) -> int:
-    """Samples in small buckets that cover a set, whatever its partners.
+def _unshared(sampled: int, similarity: float) -> np.ndarray:
+    """The chance that a partner at the threshold lacks 0, 1 and so on of ``sampled`` samples of a set: binomial, as it
+    lacks each with 1 - similarity at most."""
+    d = np.arange(sampled + 1)
+    choose = np.array([math.lgamma(sampled + 1) - math.lgamma(k + 1) - math.lgamma(sampled - k + 1) for k in d.tolist()])
+    return np.exp(choose + d * np.log(1 - similarity) + (sampled - d) * np.log(similarity))
+
+
+def covering(sampled: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """How many of ``sampled`` samples in small buckets cover a set, whatever its partners: one is missed only if it lacks them all."""
+    tail = np.cumsum(_unshared(sampled, similarity)[::-1])[::-1]
+    return int(np.count_nonzero(tail > 1 - recall))
+
 
-    Of the samples of a set, a partner at the threshold lacks ``(1 - similarity) * branching * runs`` on average. It is
-    missed only if it lacks all those in small buckets; their number has at most a Poisson tail.
+@functools.lru_cache(10_000)
+def mean_needed(sampled: int, small: int, similarity: float = SIMILARITY, recall: float = RECALL, branching: float = BRANCHING) -> float:
+    """How many shared tokens a set must sample on average in each of its large buckets, if ``small`` of its ``sampled``
+    samples lie in small ones.
+
+    A partner is missed only if it lacks all small ones and is lost in each of the large buckets that it shares: there
+    no token is sampled that is followed by both to the deepest level.
     """
-    mean = (1 - similarity) * branching * runs
-    chance, below, t = np.exp(-mean), 0.0, 0
-    while 1 - below > 1 - recall:
-        below += chance
-        t += 1
-        chance *= mean / t
-    return t
+    kept = 1.0
+    for _ in range(DEPTH - 2):
+        kept = 1 - math.exp(-SPLIT * (similarity - SPREAD) * kept)
+    d = np.arange(small, sampled + 1)
+    lacks = _unshared(sampled, similarity)[small:]
+
+    def missed(mean: float) -> float:
+        return float(lacks @ np.exp(-mean * kept * (sampled - d)))
+
+    most = branching * similarity
+    if missed(most) > 1 - recall:
+        return most
+    low, high = 0.0, most
+    while high - low > 0.005:
+        mid = (low + high) / 2
+        low, high = (mid, high) if missed(mid) > 1 - recall else (low, mid)
+    return high
 
 
 def _spread(seed: int) -> np.uint64:
@@ -220,19 +251,19 @@ def _bucket(lead: list[tuple[bytes, bytes]], least: float, sure: float):
     return ls, dense, np.array([lead[dense[r]][0] for r in root.tolist()], object)
 
 
-def _follow(depth: int, similarity: float, branching: float):
+def _follow(depth: int, similarity: float, branching: float, recall: float = RECALL):
     """Members of large buckets against the ``LEADERS`` of their bucket: edges, and the next paths of those not done.
 
     Rows are sorted by path and slice, the leaders of a bucket first. Every member is compared with every leader. One that
     is sure to be like the leader of a dense group is done with this bucket: by the triangle inequality of Jaccard
     distance its own partners are near enough to that leader to get an edge too. The others sample tokens (bin, value) of
     their sketches: rare ones of this bucket, at such a rate that of those a partner must share ``branching * similarity``
-    are sampled on average, and common ones only where rare ones are few.
+    are sampled on average, or as few as ``mean_needed`` says, and common ones only where rare ones are few.
     """
     least, sure = similarity - 0.8 + NEAR, similarity - 0.8 + SURE
     bins = np.arange(BINS, dtype=U)[None] * U(65536)
 
-    def members(path: int, keys: pa.Array, sketch: np.ndarray, bucket) -> pa.RecordBatch:
+    def members(path: int, keys: pa.Array, sketch: np.ndarray, sampled: list[int], small: list[int], bucket) -> pa.RecordBatch:
         ls, dense, names = bucket
         n = len(sketch)
         full = sketch > 0
@@ -243,8 +274,9 @@ def _follow(depth: int, similarity: float, branching: float):
         size = np.maximum(full.sum(1), 1)
         left = rare.sum(1) / size - (1 - similarity)  # what a partner must have of them
         # of each token the chance that it is sampled
-        often = branching * similarity / (np.maximum(left, LEAST_RARE) - MARGIN) / size
-        pick = np.where(rare, often[:, None], full * ((left < LEAST_RARE) * branching / size)[:, None])
+        mean = np.array([mean_needed(a, b, similarity, recall, branching) if a else branching * similarity for a, b in zip(sampled, small)])
+        often = mean / (np.maximum(left, LEAST_RARE) - MARGIN) / size
+        pick = np.where(rare, often[:, None], full * ((left < LEAST_RARE) * mean / similarity / size)[:, None])
         edges: list[list[bytes]] = [[] for _ in range(n)]
         if len(dense):
             like = np.stack([_alike(sketch, ls[x]) for x in dense.tolist()], 1)
@@ -263,7 +295,7 @@ def _follow(depth: int, similarity: float, branching: float):
         now, lead, bucket = None, [], None
         for batch in batches:
             path, part, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "slice", "member"))
-            keys = batch.column("key")
+            keys, sampled, small = batch.column("key"), batch.column("sampled").to_pylist(), batch.column("small").to_pylist()
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, BINS)
             cut = np.flatnonzero((path[1:] != path[:-1]) | (part[1:] != part[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
@@ -275,7 +307,7 @@ def _follow(depth: int, similarity: float, branching: float):
                 lead += [(keys[k].as_py(), sketch[k].tobytes()) for k in range(a, m)]
                 if m < b:
                     bucket = bucket or _bucket(lead, least, sure)
-                    yield members(int(path[a]), keys.slice(m, b - m), sketch[m:b], bucket)
+                    yield members(int(path[a]), keys.slice(m, b - m), sketch[m:b], sampled[m:b], small[m:b], bucket)
 
     return run
 
@@ -285,17 +317,17 @@ def _sized(level: DataFrame) -> DataFrame:
     return level.join(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")
 
 
-def _uncovered(wide: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The rows of ``wide`` of sets with fewer than ``least`` samples outside of large buckets."""
-    held = wide.groupBy("key").agg(F.count("*").alias("held"))
-    todo = held.join(nodes.select("key", F.size("paths").alias("sampled")), "key").where(F.col("sampled") - F.col("held") < least).select("key")
-    return wide.join(todo, "key")
+def _uncovered(wide: DataFrame, nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """The rows of ``wide`` of sets that aren't covered, with how many samples each has, and in small buckets."""
+    held = wide.groupBy("key").agg(F.count("*").alias("held")).join(nodes.select("key", F.size("paths").alias("sampled")), "key")
+    held = held.select("key", "sampled", (F.col("sampled") - F.col("held")).cast("int").alias("small"))
+    least = F.lit([covering(k, similarity, recall) for k in range(MOST_SAMPLED + 1)])
+    return wide.join(held.where(F.col("small") < F.element_at(least, F.least("sampled", F.lit(MOST_SAMPLED)) + 1)), "key")
 
 
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, branching: float = BRANCHING, small: int = SMALL) -> DataFrame:
     """(key, component) of every node (key, sketch, paths) that may be similar to another one."""
     parts = partitions(nodes.sparkSession)
-    enough = covering(similarity, recall, branching, runs_needed(similarity, recall, branching))
     paths = _sized(nodes.select(F.explode("paths").alias("path"), "key"))
     level = staged(paths.join(nodes.select("key", "sketch"), "key").select("path", "n", "key", "sketch"), "paths")
     edges, used = [], [level]
@@ -310,14 +342,16 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, recall: float =
             edges.append(wide.join(least, "path").select(F.col("key").alias("a"), "b").where("a <> b").distinct())
             break
         if depth == 1:
-            wide = _uncovered(wide, nodes, enough)
+            wide = _uncovered(wide, nodes, similarity, recall)
+        else:
+            wide = wide.select("*", F.lit(0).alias("sampled"), F.lit(0).alias("small"))
         # leaders: of each of LEADERS hash slots the least member; they are sent to every slice of their bucket
         slices_of = F.ceil(F.col("n") / SLICE).cast("int")
         slot = wide.groupBy("path", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("leader"), F.max("n").alias("n"))
-        lead = slot.select("path", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(False).alias("member"), "leader.key", "leader.sketch")
-        rows = wide.select("path", F.pmod(F.xxhash64("key"), slices_of).cast("int").alias("slice"), F.lit(True).alias("member"), "key", "sketch").unionByName(lead)
+        lead = slot.select("path", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(False).alias("member"), "leader.key", "leader.sketch", F.lit(0).alias("sampled"), F.lit(0).alias("small"))
+        rows = wide.select("path", F.pmod(F.xxhash64("key"), slices_of).cast("int").alias("slice"), F.lit(True).alias("member"), "key", "sketch", "sampled", "small").unionByName(lead)
         rows = rows.repartition(parts, "path", "slice").sortWithinPartitions("path", "slice", "member", "key")
-        led = staged(rows.mapInArrow(_follow(depth, similarity, SPLIT), "key binary, sketch binary, near array<binary>, next array<bigint>"), "led")
+        led = staged(rows.mapInArrow(_follow(depth, similarity, SPLIT, recall), "key binary, sketch binary, near array<binary>, next array<bigint>"), "led")
         edges.append(led.select(F.col("key").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct())
         new = led.select(F.explode("next").alias("path"), "key", "sketch")
         level = staged(_sized(new).select("path", "n", "key", "sketch"), "paths")
@@ -436,10 +470,12 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     known = sets.join(classes, sets["key"] == classes["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root"))
     known = staged(known.join(counts, "key", "left").select("key", "id", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
     release(found, members_of, sizes, links, classes)
-    names = staged(known.groupBy("root").agg(F.min("id").alias("class_id")), "names")
-    named = known.join(names, "root").select("key", "class_id", "n_links")
+    names_of = staged(known.groupBy("root").agg(F.min("id").alias("class_id")), "names")
+    named = known.join(names_of, "root").select("key", "class_id", "n_links")
     out = sig.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out.reads = (sig, known, names_of)
+    return out
 
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -447,7 +483,9 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
 
     A document repeated under its id is kept once. Rows with a null id all stay.
     """
-    got = staged(similar(docs, similarity, id_col=id_col, text_col=text_col), "similar")
+    found = similar(docs, similarity, id_col=id_col, text_col=text_col)
+    got = staged(found, "similar")
+    release(found)
     known = got.where(F.col(id_col).isNotNull())
     gone = known.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__sonda_id")).distinct()
     repeated = known.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().where("count > 1")
