@@ -52,10 +52,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the staged ones of ``tables``; others are left alone."""
+    """Delete the staged ones of ``tables``, and those that a table names as ``reads``; others are left alone."""
     for t in tables:
         if path := t.__dict__.pop("staged_at", None):
             delete(t.sparkSession, path)
+        release(*t.__dict__.pop("reads", ()))
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

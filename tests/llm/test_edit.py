@@ -149,3 +149,50 @@ def test_string_ids(spark):
         t, n = texts[name], texts[order[(i + 1) % 60]]
         k = len(t) // 3
         assert got[name] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
+
+
+def walk_by_hand(text, tables):
+    """The samples of one walk, a step at a time, by the definition: stand, emit, and move if the shared function says so."""
+    move, emit = tables
+    symbols = [c if c < 256 else (c * 2654435761 % 2**32) >> 24 for c in map(ord, text)]
+    emitted, at, t = [], 0, 0
+    while at < len(symbols):
+        emitted.append("0123456789abcdef"[emit[symbols[at]]])
+        at += int(move[(t % edit.PERIOD) * 256 + symbols[at]])
+        t += 1
+    # all of the first 64 steps, then of every octave the middles of 64 equal parts
+    keep = [s for s in range(min(64, t))]
+    low = 64
+    while low < t:
+        keep += [s for k in range(64) if (s := low + k * (low // 64) + low // 128) < t]
+        low *= 2
+    return "".join(emitted[s] for s in keep)
+
+
+def test_walks_by_hand():
+    texts = ["", "a", "ab" * 40, prose(31, 300), "ñandú 日本語 😀 " * 30, "x" * 3000, prose(32, 4000)] + [prose(40 + i, 1 + i) for i in range(120)]
+    for text, got in zip(texts, edit.fingerprints(texts)):
+        want = f"{walk_by_hand(text, edit._TABLES[0])}.{walk_by_hand(text[::-1], edit._TABLES[1])}" if text else ""
+        assert got == want
+
+
+def test_likeness_by_hand():
+    """The best of 17 places, each with the weighed and corrected agreement of the walks before and behind it."""
+
+    def agreed(a, b, steps):
+        w = edit.weights(max(len(a), len(b)))
+        total, done = 0.0, 0.0
+        for i in range(min(len(a), len(b))):
+            done += w[i]
+            if done > steps * w.sum() * (1 + 1e-12):
+                break
+            total += w[i] * ((a[i] == b[i]) - edit.CHANCE) / (1 - edit.CHANCE)
+        return total / w.sum()
+
+    for k in range(40):
+        a = prose(600 + k, 10 + 9 * k)
+        b = a[: len(a) // 2] + "zq" * (k % 5) + a[len(a) // 2 + k % 7 :]
+        fa, fb = edit.fingerprints([a, b])
+        (af, ab), (bf, bb) = fa.split("."), fb.split(".")
+        want = 1.0 if fa == fb else max(agreed(af, bf, i / 16) + agreed(ab, bb, 1 - i / 16) for i in range(17))
+        assert edit.likeness(fa, fb) == pytest.approx(min(1.0, max(0.0, want)))

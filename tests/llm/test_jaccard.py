@@ -123,7 +123,8 @@ def never_met(pairs, levels, common=0, seed=3):
                     break
                 paths = sorted({p for _, p in rows})
                 each = sorted([(p, False, -1 - i, x) for p in paths for i, x in enumerate(leaders)] + [(p, True, d, sketch[d]) for d, p in rows], key=lambda r: r[:3])
-                batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in each]), pa.array([0] * len(each)), *(pa.array([r[k] for r in each]) for k in (1, 2, 3))], ["path", "slice", "member", "key", "sketch"])
+                zero = pa.array([0] * len(each))
+                batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in each]), zero, *(pa.array([r[k] for r in each]) for k in (1, 2, 3)), zero, zero], ["path", "slice", "member", "key", "sketch", "sampled", "small"])
                 rows = set()
                 for new in jaccard._follow(level, 0.8, jaccard.SPLIT)(batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
                     rows |= {(d, p) for d, x in zip(new.column("key").to_pylist(), new.column("next").to_pylist()) for p in x}
@@ -143,22 +144,34 @@ def test_covered_sets_meet_in_small_buckets(common):
     """Shingles in all sets have large buckets; sets with enough other samples stop there and still find their partners."""
     rng = np.random.default_rng(9)
     runs = jaccard.runs_needed(0.8, jaccard.RECALL, jaccard.BRANCHING)
-    enough, stopped = jaccard.covering(0.8, jaccard.RECALL, jaccard.BRANCHING, runs), 0
+    stopped = 0
     for _ in range(8):
         shared, h, first = pairs_of_sets(rng, 1000, common)
         doc, path = jaccard._paths(h, first, runs, jaccard.BRANCHING)
         wide = {p for r in range(runs) for p in jaccard.mix(shared + jaccard._spread(r)).tolist()}
-        small = [set() for _ in range(2000)]
+        small, sampled = [set() for _ in range(2000)], np.bincount(doc, minlength=2000)
         for d, p in zip(doc.tolist(), path.tolist()):
             if p not in wide:
                 small[d].add(p)
-        for a, b in zip(small[::2], small[1::2]):
-            if len(a) >= enough or len(b) >= enough:
+        for d, (a, b) in enumerate(zip(small[::2], small[1::2])):
+            if len(a) >= jaccard.covering(int(sampled[2 * d])) or len(b) >= jaccard.covering(int(sampled[2 * d + 1])):
                 stopped += 1
                 assert a & b
     assert stopped or common == 100
 
 
+def test_fewer_tokens_are_enough_where_small_buckets_help():
+    """The target holds by simulation of what a partner lacks, at a recall that can be seen in so many trials."""
+    rng = np.random.default_rng(4)
+    assert jaccard.mean_needed(30, jaccard.covering(30)) < 0.01 < jaccard.mean_needed(30, jaccard.covering(30) - 1) < jaccard.mean_needed(30, 2) <= 1.6
+    kept = 0.6  # of a path that both follow, at the deepest level
+    for sampled, small in ((30, 4), (30, 12), (24, 7), (40, 15)):
+        mean = jaccard.mean_needed(sampled, small, recall=0.999)
+        lacks = rng.binomial(sampled, 0.2, 400_000)
+        found = rng.poisson(mean * kept * np.maximum(sampled - np.maximum(lacks, small), 0))
+        assert ((lacks >= small) & (found == 0)).mean() < 0.0015
+
+
 def templated(n, unlike=50):
     """Texts of one template of 100 words with words of their own behind it: pairs at a similarity of about 0.5, no links."""
     base = prose(5, 100)

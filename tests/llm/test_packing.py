@@ -89,3 +89,27 @@ def test_documents(edge, edge_rows, nothing):
     assert packing.pack_documents(nothing, tokenizer(BYTE)).count() == 0
     seqs = packing.sequences(edge, tokenizer(BYTE)).collect()
     assert sorted(t for s in seqs for t in s["ids"]) == sorted(int(t) for ws in want.values() for w in ws for t in w)
+
+
+@pytest.mark.parametrize("pieces", [2, 3, 5])
+def test_tight_sizes_of_known_optimum(pieces):
+    """Full sequences cut into pieces at random: a packing without waste exists, and the plan is near it."""
+    rnd = random.Random(pieces)
+    counts = Counter()
+    for _ in range(600):
+        cuts = sorted(rnd.sample(range(1, 2048), pieces - 1))
+        counts.update(b - a for a, b in zip([0, *cuts], [*cuts, 2048]))
+    plan, bound = bins.pack(counts, 2048)
+    n = sum(t for _, t in plan)
+    held = Counter()
+    for filling, times in plan:
+        for s in filling:
+            held[s] += times
+    assert held == counts and bound == 600 <= n <= 606 and n <= sum(t for _, t in bins.best_fit_decreasing(dict(counts), 2048))
+
+
+def test_report_of_a_plan(spark):
+    df = spark.createDataFrame([(i, "word " * (50 + i)) for i in range(40)], "doc_id bigint, text string")
+    seen = []
+    got = packing.packed(packing.staged(packing.pieces(df, tokenizer(BYTE), with_ids=False), "pieces"), report=lambda n, bound: seen.append((n, bound)))
+    assert seen[0][0] == got.select("sequence_id").distinct().count() >= seen[0][1] > 0
