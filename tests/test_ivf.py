@@ -31,3 +31,21 @@ def test_generated_vectors(spark, tmp_path):
     df.write.parquet(str(tmp_path / "v"))
     unit = generate.load_vectors(spark, str(tmp_path / "v"), unit=True).first()["vector"]
     assert abs(sum(x * x for x in unit) - 1) < 1e-9
+
+
+def test_vectors_in_memory(spark):
+    from sonda.sources.memory import VectorIndex
+
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(400, 6)), rng.normal(size=(7, 6))
+    near = lambda d: [np.argsort(r, kind="stable")[:5].tolist() for r in d]
+    exact = near(((q[:, None] - x[None]) ** 2).sum(2))
+    plain = VectorIndex(spark).fit(x)
+    assert plain.query_many(q, 5) == exact == [plain.query(v, 5) for v in q]
+    unit = VectorIndex(spark, "cosine", angular=True).fit(x * rng.uniform(1, 9, (400, 1)))
+    assert unit.query_many(q, 5) == near(1 - (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None])
+    lists = VectorIndex(spark, lists=8, probes=8).fit(x)
+    assert lists.query_many(q, 5) == exact and lists.query(q[0], 5) == exact[0]
+    few = VectorIndex(spark, lists=8, probes=5).fit(x).query_many(q, 5)
+    assert sum(len(set(a) & set(b)) for a, b in zip(few, exact)) >= 0.7 * 35
+    assert VectorIndex(spark).fit(x[:3]).query(q[0], 5) == near(((q[:1, None] - x[None, :3]) ** 2).sum(2))[0]
