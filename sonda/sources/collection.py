@@ -7,8 +7,8 @@ part, sorted by term. Quantizers and lists are fitted once, when the collection
 the parts that were there already are then written anew, and later points don't move them.
 
 Inserts add a part; deletes add tombstones; an update is a tombstone and a part. The manifest is replaced in one move,
-so a reader sees a mutation wholly or not at all; parts of a failed one are never named. ``compact`` writes the live
-rows anew, by itself when there are ``Plan.max_parts``. One writer at a time.
+so a reader sees a mutation wholly or not at all; parts of a failed one are never named. Beyond ``Plan.max_parts`` parts the
+smaller half of them becomes one, and so do tombstones; ``compact`` writes all live rows anew. One writer at a time.
 """
 
 from __future__ import annotations
@@ -360,13 +360,33 @@ class Collection:
         if not part:
             part = f"{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
             self._write(rows, part, self.fits(m), True)
-        self._commit(m | {"seq": m["seq"] + 1, "parts": [*m["parts"], part], "count": m["count"] + n})
+        self._commit(m | {"seq": m["seq"] + 1, "count": m["count"] + n} | self._with_part(m, part, n))
         self._upkeep()
 
+    @staticmethod
+    def _with_part(m: dict, part: str, n: int) -> dict:
+        """What the manifest says of parts once there is another one, of ``n`` rows."""
+        return {"parts": [*m["parts"], part], "sizes": m.get("sizes", {}) | {part: n}}
+
     def _upkeep(self) -> None:
         self._fit()
-        if len(self.manifest["parts"]) > self.plan.max_parts:
-            self.compact()
+        m = self.manifest
+        if len(m["tombstones"]) > self.plan.max_parts:
+            name = f"{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+            dead = self.spark.read.schema("_id string, _seq long").parquet(*(f"{self.path}/tombstones/{p}" for p in m["tombstones"]))
+            dead.groupBy("_id").agg(F.max("_seq").alias("_seq")).write.parquet(f"{self.path}/tombstones/{name}")
+            self._commit(m := m | {"seq": m["seq"] + 1, "tombstones": [name]})
+        if len(m["parts"]) <= self.plan.max_parts:
+            return
+        # the smaller half of the parts, written as one; their rows keep their numbers, so tombstones still hold
+        sizes = m.get("sizes", {})
+        few = sorted(m["parts"], key=lambda p: sizes.get(p, 0))[: self.plan.max_parts // 2 + 1]
+        rows = self._live(self.spark.read.schema(self.type).parquet(*(f"{self.path}/parts/{p}" for p in few)), m)
+        total = sum(sizes.get(p, 0) for p in few)
+        part = f"{m['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+        n = self._write(rows.select(*(F.col(f"`{n}`") for n in self.base.names)), part, self.fits(m), total <= 10_000).count()
+        left = {"parts": [p for p in m["parts"] if p not in few], "sizes": {p: k for p, k in sizes.items() if p not in few}}
+        self._commit(m | {"seq": m["seq"] + 1} | self._with_part(left, part, n))
 
     def _bury(self, ids: list[str], m: dict, seq: int) -> dict:
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
@@ -398,7 +418,7 @@ class Collection:
             change = self._bury([r[0] for r in rows], m, seq)
             part = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
             self._write(self._rows(rows, seq), part, self.fits(m), True)
-            self._commit(m | change | {"parts": [*m["parts"], part]})
+            self._commit(m | change | self._with_part(m, part, len(rows)))
             self._upkeep()
         done = {r[0] for r in rows}
         return [{"id": i, "error": "not found"} for i in changes if i not in done]
@@ -413,6 +433,7 @@ class Collection:
         found = [r["_id"] for r in self._of(ids).select("_id").collect()]
         if found:
             self._commit(m | self._bury(found, m, m["seq"] + 1) | {"count": m["count"] - len(found)})
+            self._upkeep()
         return [{"id": i, "error": "not found"} for i in ids if i not in set(found)]
 
     def search(self, request: Request | dict | str, rank: bool = False) -> DataFrame:
@@ -441,7 +462,7 @@ class Collection:
         listed = [f"`{column_name(path, 'l')}`" for path, index in self.schema.items() if index.lists]
         # with lists, rows of one list lie together, so that a search reads few of them
         self._write(rows if listed else rows.repartition(files_now), part, self.fits({"fits": fits}), False)
-        self._commit(m | {"seq": m["seq"] + 1, "parts": [part], "tombstones": [], "dead": 0, "fits": fits})
+        self._commit(m | {"seq": m["seq"] + 1, "parts": [part], "sizes": {part: m["count"]}, "tombstones": [], "dead": 0, "fits": fits})
 
     def vacuum(self) -> int:
         """Delete parts, postings and tombstones that the manifest doesn't name; returns how many folders went."""

@@ -113,7 +113,7 @@ def apply_batch(collection: Collection, batch: DataFrame, epoch: int, stream: st
     change = {"seq": seq, "count": m["count"] + n_new - n_gone, "epochs": m["epochs"] | {stream: epoch}}
     if n_new:
         collection._write(got.where("kind = 'row'").select(*(F.col(f"`{n}`") for n in collection.base.names)), name, collection.fits(m), n_new <= 10_000)
-        change["parts"] = [*m["parts"], name]
+        change |= collection._with_part(m, name, n_new)
     if n_gone:
         got.where("kind = 'gone'").select("_id", "_seq").write.parquet(f"{collection.path}/tombstones/{name}")
         change |= {"tombstones": [*m["tombstones"], name], "dead": m["dead"] + n_gone}
