@@ -24,10 +24,15 @@ STOP_WORDS = (
 ).split()
 
 
+def cut(lower: Column) -> Column:
+    """All terms of a text in lower case."""
+    words = F.regexp_extract_all(lower, F.lit(POSSESSIVE), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+
+
 def tokens(text: Column) -> Column:
     """All terms of a text with repetitions, in order; null for null."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(POSSESSIVE), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return cut(F.lower(text))
 
 
 def terms(text: str) -> list[str]:

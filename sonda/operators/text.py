@@ -2,7 +2,7 @@
 
 Counts of documents are of the whole collection, whatever filter a query has. A collection stores its postings, and
 ``from_postings`` reads those of a query's terms. Over a plain frame (``scored``) a text is cut into terms only where it
-contains one of the query's terms as a string, which few do; one small aggregate gives the document frequencies.
+shows one of the query's terms as a string of its own, which few do; one small aggregate gives the document frequencies.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import terms, tokens
+from ..functions.analysis import cut, terms, tokens
 
 
 def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -32,8 +32,15 @@ def lengths(df: DataFrame, id_col: str, text: Column) -> DataFrame:
 HEAD = 256
 
 
-def _count(tokens_col: str, word: str) -> Column:
-    return F.size(F.filter(tokens_col, lambda t: t == word))
+def _count(ts: Column, word: str) -> Column:
+    return F.size(F.filter(ts, lambda t: t == word))
+
+
+def _may_have(lower: Column, word: str) -> Column:
+    """What a text with the term must show, without cutting it into terms: the string, and somewhere no letter on either side."""
+    inside = r"[\p{L}\p{M}\p{N}_]"
+    alone = rf"\Q{word}\E(?!{inside})(?<!{inside}\Q{word}\E)"
+    return F.contains(lower, F.lit(word)) & F.rlike(lower, F.lit(alone))
 
 
 def _total(parts: list[Column]) -> Column:
@@ -65,17 +72,23 @@ def scored(df: DataFrame, id_col: str, text: Column, query: str, every: bool, wi
     base = df.withColumn("__text", text).where("__text is not null")
     if not wanted:
         return base.where("false").select(id_col, F.lit(0.0).alias("score"))
-    has = [F.contains(F.lower("__text"), F.lit(w)) for w in wanted]
+    lower = F.array(F.lower("__text"))  # of one element, so that lambdas read it and it is made once a row
     # the first of two terms of the head is whole
     counted = F.when(F.size(tokens(F.substring("__text", 1, HEAD))) > 1, True).otherwise(F.size(tokens(F.col("__text"))) > 0)
-    found = [F.when(h, F.array_contains(tokens(F.col("__text")), w)).otherwise(False) for h, w in zip(has, wanted)]
-    stats = base.agg(F.sum(counted.cast("long")).alias("n"), *(F.sum(f.cast("long")).alias(f"df{i}") for i, f in enumerate(found)))
+    found = F.get(F.transform(lower, lambda t: F.array(*(F.when(_may_have(t, w), F.array_contains(cut(t), w)).otherwise(False) for w in wanted))), 0)
+    stats = base.select(counted.cast("long").alias("n"), found.alias("found"))
+    stats = stats.agg(F.sum("n").alias("n"), *(F.sum(F.get("found", i).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     kept = base if within is None else base.where(within)
     if restrict is not None:
         kept = kept.join(restrict, id_col, "left_semi")
-    kept = kept.where(_fits(has, every)).withColumn("__tokens", tokens(F.col("__text")))
-    tf = [_count("__tokens", w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    kept = kept.select(id_col, *tf, F.size("__tokens").alias("length")).where(_fits([F.col(f"tf{i}") > 0 for i in range(len(wanted))], every))
+    kept = kept.where(F.exists(lower, lambda t: _fits([_may_have(t, w) for w in wanted], every)))
+
+    def counts(ts: Column) -> Column:
+        return F.struct(*(_count(ts, w).alias(f"tf{i}") for i, w in enumerate(wanted)), F.size(ts).alias("length"))
+
+    # generated rows, so that the terms of a text are cut once and not again for every count and condition
+    each = F.filter(F.transform(F.array(tokens(F.col("__text"))), counts), lambda m: _fits([m[f"tf{i}"] > 0 for i in range(len(wanted))], every))
+    kept = kept.select(id_col, F.inline(each))
     kept = kept.withColumn("c", stats.select(F.struct("*").alias("s")).scalar())  # one row, as a scalar subquery
     return kept.select(id_col, _score(len(wanted), "length", F.col("c.n"), lambda i: F.col(f"c.df{i}")).alias("score"))
 
